@@ -75,11 +75,10 @@ def block_source(df: DataFrame) -> DataFrame:
 
 
 def with_blocks(df: DataFrame, *columns) -> tuple[DataFrame, int]:
-    """``columns`` with ``blk`` (split) and ``grp`` (reply file); the number of reply files."""
+    """``columns`` and, as the last two, the split and its reply file; the number of reply files."""
     n = max(1, df.rdd.getNumPartitions())
     blk = F.concat_ws("#", F.input_file_name(), F.input_file_block_start().cast("string"))
-    out = df.select(*columns, blk.alias("blk"))
-    return out.withColumn("grp", F.pmod(F.xxhash64("blk"), F.lit(n)).cast("int")), n
+    return df.select(*columns, blk.alias("__blk"), F.pmod(F.xxhash64(blk), F.lit(n)).cast("int").alias("__grp")), n
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
@@ -87,12 +86,12 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.R
     for b in batches:
         if not b.num_rows:
             continue
-        code = b.column("blk").dictionary_encode()
+        split, file = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+        code = split.dictionary_encode()
         ix = code.indices.to_numpy(zero_copy_only=False)
         cut = np.flatnonzero(np.diff(ix)) + 1
         for i, j in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
-            part = b.slice(i, j - i)
-            yield part.column("blk")[0].as_py(), part.column("grp")[0].as_py(), part
+            yield split[i].as_py(), file[i].as_py(), b.slice(i, j - i)
 
 
 def deliver(replies: DataFrame, n: int, name: str) -> str:

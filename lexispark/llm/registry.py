@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, licenses, mjpeg, secrets
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, mjpeg, secrets, licenses]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in MODULES for k, f in m.ORACLE.items()}
