@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mjpeg, secrets
+from . import exact_dedup, katz, licenses, mjpeg, near_dedup, secrets
 
-MODULES = [exact_dedup, mjpeg, secrets, licenses]
+MODULES = [exact_dedup, katz, mjpeg, near_dedup, secrets, licenses]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in MODULES for k, f in m.ORACLE.items()}
