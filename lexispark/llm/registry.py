@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, katz, licenses, mjpeg, near_dedup, secrets
+from . import exact_dedup, katz, licenses, mixing, mjpeg, near_dedup, packing, secrets, tokens, toxicity
 
-MODULES = [exact_dedup, katz, mjpeg, near_dedup, secrets, licenses]
+MODULES = [katz, exact_dedup, mixing, tokens, toxicity, mjpeg, near_dedup, packing, secrets, licenses]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in MODULES for k, f in m.ORACLE.items()}
