@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of an Arrow batch, where the application has not set its own: texts are long.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def session(app: str = "lexispark", **conf: str) -> SparkSession:
@@ -18,7 +20,6 @@ def session(app: str = "lexispark", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.ui.showConsoleProgress": "false",
     }
     return SparkSession.builder.appName(app).config(map=base | conf).getOrCreate()
@@ -28,6 +29,9 @@ def ship(spark: SparkSession) -> SparkSession:
     """Send this package's source to the executors once for each application."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
+        for k, v in _BATCH.items():
+            if not spark.sparkContext.getConf().contains(k):
+                spark.conf.set(k, v)
         here = Path(__file__).parent
         path = Path(tempfile.mkdtemp(prefix="lexispark-")) / "lexispark_src.zip"
         with zipfile.ZipFile(path, "w") as z:
