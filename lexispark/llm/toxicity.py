@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-SAMPLE, FOLDS, FEATURES, LEAST = 12_000, 3, 4000, 4
+SAMPLE, CANDIDATES, FOLDS, FEATURES, LEAST = 12_000, 20_000, 3, 4000, 4
 CHAIN = ("low_quality", "toxic")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -132,33 +132,56 @@ def best_cut(score: np.ndarray, y: np.ndarray) -> float:
     return float((score[order[k]] + low) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """A chain of low quality, then toxicity, from at most ``sample`` labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates: int = CANDIDATES) -> Chain:
+    """A chain of low quality, then toxicity, from at most ``sample`` labelled documents.
+
+    The features of these are counted in Spark; the driver gets the presences of the ``candidates`` that tell most
+    about each category, so what it holds is bounded by the two parameters.
+    """
     usable = labels.where("doc_id is not null and quality is not null and toxic is not null")
     some = usable.select("doc_id", (1 - F.col("quality")).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "low_quality", "toxic").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ys = b.column("doc_id").to_pylist(), [b.column(c).to_pylist() for c in CHAIN]
             for i, j, row, key in _keys(b):
-                own = [np.unique(key[row == k]).tobytes() for k in range(j - i)] if j - i < 3 else _split(row, key, j - i)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), *(pa.array(y[i:j], pa.int32()) for y in ys), pa.array(own, pa.binary())], names=["doc_id", *CHAIN, "keys"])
+                keys = pa.array(_split(row, key, j - i), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", *CHAIN)), keys], names=["doc_id", *CHAIN, "keys"])
+
+    rows = B.stored(rows.mapInArrow(features, "doc_id long, low_quality int, toxic int, keys array<long>"), "labelled")
+    n, *sums = rows.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in CHAIN]).first()
+    seen = rows.select(F.explode("keys").alias("key"), *CHAIN).groupBy("key").agg(F.count("*").alias("c"), *[F.sum(c).alias(c) for c in CHAIN]).where(F.col("c") >= LEAST)
+    seen, known = B.stored(seen, "counted"), set()
+    for c, total in zip(CHAIN, sums, strict=True):
+        odds = F.log(((F.col(c) + 0.5) / (total + 1)) / ((F.col("c") - F.col(c) + 0.5) / (n - total + 1)))
+        known |= {r.key for r in seen.select("key", (F.abs(odds) * F.sqrt("c")).alias("w")).orderBy(F.desc("w"), "key").limit(candidates).select("key").collect()}
+    known = np.array(sorted(known), np.int64)
+
+    def presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_places(known, np.array(k, np.int64)).tobytes() for k in b.column("keys").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *CHAIN)), pa.array(sets, pa.binary())], names=["doc_id", *CHAIN, "hits"])
 
-    got = rows.mapInArrow(step, "doc_id long, low_quality int, toxic int, keys binary").toArrow().sort_by([("doc_id", "ascending")])
-    sets = [np.frombuffer(x, np.uint64) for x in got.column("keys").to_pylist()]
-    y = np.column_stack([got.column(c).to_numpy().astype(float) for c in CHAIN]) if len(sets) else np.zeros((0, 2))
+    got = rows.mapInArrow(presences, "doc_id long, low_quality int, toxic int, hits binary").toArrow().sort_by([("doc_id", "ascending")])
+    sets = [np.frombuffer(x, np.uint32) for x in got.column("hits").to_pylist()]
+    y = np.column_stack([got.column(c).to_numpy().astype(float) for c in CHAIN]) if len(sets) else np.zeros((0, len(CHAIN)))
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) if sets else np.zeros(0, np.int64)
-    key = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    u, inv, count = np.unique(key, return_inverse=True, return_counts=True)
-    often = count[inv] >= LEAST
-    return fit_chain(len(sets), row[often], key[often], y)
+    key = known.view(np.uint64)[np.concatenate(sets)] if sets else np.zeros(0, np.uint64)
+    return fit_chain(len(sets), row, key, y)
+
+
+def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where sorted ``known`` has any of the keys."""
+    at = np.searchsorted(known, keys)
+    at, keys = at[at < len(known)], keys[at < len(known)]
+    return at[known[at] == keys].astype(np.uint32)
 
 
-def _split(row: np.ndarray, key: np.ndarray, n: int) -> list[bytes]:
+def _split(row: np.ndarray, key: np.ndarray, n: int) -> list[np.ndarray]:
+    """Distinct keys of each row, as signed integers."""
     order = np.argsort(row, kind="stable")
     key, at = key[order], np.searchsorted(row[order], np.arange(n + 1))
-    return [np.unique(key[i:j]).tobytes() for i, j in zip(at, at[1:])]
+    return [np.unique(key[i:j]).view(np.int64) for i, j in zip(at, at[1:])]
 
 
 OUT = "doc_id long, p_low_quality double, p_toxic double, toxic boolean, kept boolean"
