@@ -175,12 +175,12 @@ def merged_ranges(spark, sf_dir):
 
 @query("""
 with e as (select event_id, user_id from events where event_type <> 'error'), f as (select user_id, event_id as entry from events where event_id % 5 = 0)
-select e.event_id, e.user_id, f.entry from e asof left join f on e.user_id = f.user_id and e.event_id >= f.entry""")
+select e.event_id, e.user_id, coalesce(f.entry, -1) as entry from e asof left join f on e.user_id = f.user_id and e.event_id >= f.entry""")
 def nearest_entry(spark, sf_dir):
-    """For each row the last entry of its user at or before it."""
+    """For each row the last entry of its user at or before it; -1 if there is none."""
     e = A.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     right = e.where("event_id % 5 = 0").select("user_id", "event_id", F.col("event_id").alias("entry"))
-    return R.as_of(e.where("event_type <> 'error'").select("event_id", "user_id"), right, ["user_id"], "event_id", ["entry"], buckets=16)
+    return R.as_of(e.where("event_type <> 'error'").select("event_id", "user_id"), right, ["user_id"], "event_id", ["entry"], buckets=16).fillna(-1, ["entry"])
 
 
 @query("""
