@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casefold
-from ..session import ship
+from ..session import ship, stored
 from ..sources import nodes as N
 from ..sources.lift_source import children, read_document
 from ..sources.shred import NAMES, NODES, shred
@@ -116,6 +116,7 @@ class Lexicon:
         self.root_open = b'<lift version="0.13">'
         self.source: dict | None = None
         self.residue: list[tuple[int, bytes]] = []
+        self._nodes: DataFrame | None = None
 
     # ------------------------------------------------------------ loading
 
@@ -167,7 +168,9 @@ class Lexicon:
 
     @property
     def nodes(self) -> DataFrame:
-        """One row per node of every entry."""
+        """One row per node of every entry; parsed anew for each plan, unless ``parsed`` has stored them."""
+        if self._nodes is not None:
+            return self._nodes
         head = self.root_open
 
         def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,6 +182,12 @@ class Lexicon:
 
         return self.entries.select("doc", "entry_pos", "line", "raw").mapInPandas(step, NODES)
 
+    def parsed(self) -> Lexicon:
+        """The same lexicon with its nodes in a stored table: for several plans, one parse, and scans of single columns."""
+        out = self._with(self.entries, order=True)
+        out._nodes = self._nodes if self._nodes is not None else stored(self.nodes, "nodes")
+        return out
+
     def table(self, *tags: str) -> DataFrame:
         """Rows of the nodes with these tags: senses and subsenses, forms, traits and so on."""
         return self.nodes.where(F.col("tag").isin(*tags))

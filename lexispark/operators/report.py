@@ -23,7 +23,7 @@ class Stats:
 
 def stats(lex: Lexicon) -> Stats:
     """Counts in one aggregate; languages and traits in one each."""
-    n = lex.nodes
+    n = lex.parsed().nodes
     sound = (F.col("tag") == "media") & F.col("sense").isNull()
     one = n.agg(
         F.count_if(F.col("kind") == "entry").alias("e"), F.count_if(F.col("kind") == "sense").alias("s"),
@@ -55,6 +55,7 @@ def _leaf_forms(lex: Lexicon) -> DataFrame:
 
 def export(lex: Lexicon, langs: list[str] | None = None) -> DataFrame:
     """One row per leaf sense, in order of ``entry_pos, idx``: the first gloss and definition in each language."""
+    lex = lex.parsed()
     langs = export_languages(lex) if langs is None else langs
     n = lex.nodes
     senses = n.where("kind = 'sense' and is_leaf").select("entry_pos", F.col("path").alias("sense"), "idx", F.col("entry_id"), F.col("entry_guid"), F.col("id").alias("sense_id"))
@@ -78,3 +79,9 @@ def export_rows(lex: Lexicon, langs: list[str] | None = None):
     yield df.columns[2:]
     for r in df.orderBy("entry_pos", "idx").toLocalIterator(prefetchPartitions=True):
         yield list(r)[2:]
+
+
+def gloss_langs(lex: Lexicon) -> DataFrame:
+    """(entry_pos, langs): distinct gloss languages over each entry's senses."""
+    g = lex.table("gloss").where("sense is not null and parent = sense and lang is not null")
+    return g.groupBy("entry_pos").agg(F.array_sort(F.collect_set("lang")).alias("langs"))

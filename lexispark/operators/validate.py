@@ -119,6 +119,7 @@ def _driver_problems(lex: Lexicon) -> list[tuple]:
 
 def problems(lex: Lexicon, require_ids: bool = False) -> DataFrame:
     """All findings; order by ``seq`` for the order of the report."""
+    lex = lex.parsed()
     spark, file = lex.spark, F.lit(lex.path.name if lex.path else None).cast("string")
     nodes = lex.nodes
     entry = ["entry_pos", "entry_id", "entry_guid", "entry_line"]

@@ -8,11 +8,14 @@ line, byte_start, byte_end, gap (bytes before it), raw.
 from __future__ import annotations
 
 import os
+import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark import TaskContext
+from pyspark.sql import Row
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .scan import Document, Span, check_root, spans
 
@@ -64,6 +67,47 @@ class LiftReader(DataSourceReader):
                 at = e
 
 
+@dataclass
+class Part(WriterCommitMessage):
+    partition: int
+    path: str
+
+
+class LiftWriter(DataSourceWriter):
+    """Entries (column ``raw``) to one document, in order of partitions: sort by a range, then write.
+
+    Tasks write parts beside the target, which must be on a file system that all tasks share; the commit joins them
+    and moves the result over the target, an abort removes them.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.head = options["path"], options.get("head", '<lift version="0.13">')
+
+    def write(self, rows: Iterator[Row]) -> Part:
+        t = TaskContext.get()
+        path = f"{self.path}.{t.partitionId():08d}-{t.taskAttemptId()}.part"
+        with open(path, "wb") as f:
+            for r in rows:
+                f.write(bytes(r.raw).rstrip(b"\n") + b"\n")
+        return Part(t.partitionId(), path)
+
+    def commit(self, messages: list[Part | None]) -> None:
+        done = sorted((m for m in messages if m), key=lambda m: m.partition)
+        with open(self.path + ".part", "wb") as out:
+            out.write(b'<?xml version="1.0" encoding="UTF-8"?>\n' + self.head.encode() + b"\n")
+            for m in done:
+                with open(m.path, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 20)
+            out.write(b"</lift>\n")
+        os.replace(self.path + ".part", self.path)
+        self.abort(done)
+
+    def abort(self, messages: list[Part | None]) -> None:
+        for m in messages:
+            if m and os.path.exists(m.path):
+                os.remove(m.path)
+
+
 class LiftSource(DataSource):
     """Register with ``spark.dataSource.register(LiftSource)``; then ``spark.read.format("lift")``."""
 
@@ -77,6 +121,12 @@ class LiftSource(DataSource):
     def reader(self, schema) -> LiftReader:
         return LiftReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> LiftWriter:
+        options = dict(self.options)
+        if not overwrite and os.path.exists(options["path"]):
+            raise FileExistsError(options["path"])
+        return LiftWriter(options)
+
 
 def children(spark: SparkSession, path: str, root: str = "lift", split: int = 8 << 20):
     """Root children of a document as rows."""

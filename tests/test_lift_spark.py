@@ -9,6 +9,8 @@ from lexispark.cli import main
 from lexispark.operators import report, validate
 from lexispark.operators.lexicon import Lexicon, RangesFile, canonicalize
 from lexispark.sources import nodes as N
+from lexispark.sources.generate import entries
+from lexispark.sources.lift_source import LiftSource
 from lexispark.sources.archive import lift_path
 from tests.lift_data import LIFT, folder
 
@@ -178,3 +180,23 @@ def test_clean_lexicon_has_no_problems(spark, tmp_path):
     lex = Lexicon.read(spark, p)
     assert lex.entries.count() == 0 and report.stats(lex).entries == 0 and main(["validate", str(p)], spark) == 0
     assert N.tree(b"".join(lex.chunks())).tag == "lift"
+
+
+def test_generated_lexicon_through_the_data_source(spark, tmp_path):
+    spark.dataSource.register(LiftSource)
+    p = tmp_path / "big.lift"
+    made = entries(spark, 300, parts=3)
+    made.write.format("lift").mode("overwrite").save(str(p))
+    assert [x.name for x in tmp_path.iterdir()] == ["big.lift"]
+    lex = Lexicon.read(spark, p, split=20_000)
+    assert lex.entries.rdd.getNumPartitions() > 3
+    assert [bytes(r.raw) for r in lex.entries.orderBy("entry_pos").collect()] == [bytes(r.raw).rstrip(b"\n") for r in made.orderBy("entry_pos").collect()]
+    s = report.stats(lex)
+    assert s.entries == 300 and s.languages == ["en", "fr", "qaa"] and s.traits == {"status": 300}
+    found = validate.report(validate.problems(lex))
+    assert {f.code for f in found} == {"missing-media"} and len(found) == 60
+    assert report.gloss_langs(lex).where("langs = array('en', 'fr')").count() == 300
+    lines = {r.entry_pos: r.line for r in lex.entries.collect()}
+    assert p.read_text().splitlines()[lines[299] - 1].startswith("<entry")
+    with pytest.raises(Exception, match="Exists"):
+        made.write.format("lift").mode("append").save(str(p))
