@@ -5,8 +5,8 @@ from __future__ import annotations
 import argparse
 import csv
 import json
-import sys
 import tempfile
+import sys
 from pathlib import Path
 
 from .operators import report
@@ -18,6 +18,13 @@ from .sources.archive import lift_path
 from .sources.nodes import LiftError
 
 
+_FORMATS = ["text", "json"]
+
+
+def _counts(*parts: tuple[int, str]) -> str:
+    return ", ".join(f"{n} {what}" for n, what in parts)
+
+
 def _validate(spark, a) -> int:
     if a.path == "-":
         with tempfile.TemporaryDirectory() as d:
@@ -32,10 +39,11 @@ def _validate(spark, a) -> int:
     errors = sum(f.level == "error" for f in found)
     warnings = len(found) - errors
     if a.format == "json":
-        print(json.dumps({"problems": [vars(f) for f in found], "summary": {"errors": errors, "warnings": warnings}}, indent=2))
+        total = {"errors": errors, "warnings": warnings}
+        print(json.dumps({"problems": [vars(f) for f in found], "summary": total}, indent=2))
     else:
         print(*found, sep="\n", end="\n" if found else "")
-        print(f"{errors} error(s), {warnings} warning(s)" + ("  (strict: warnings treated as errors)" if a.strict and warnings else ""))
+        print(_counts((errors, "error(s)"), (warnings, "warning(s)")) + ("  (strict: warnings treated as errors)" if a.strict and warnings else ""))
     return int(bool(errors or (a.strict and warnings)))
 
 
@@ -55,7 +63,7 @@ def _stats(spark, a) -> int:
 def _sort(spark, a) -> int:
     target = a.output or a.path
     canonicalize(spark, a.path, target)
-    print(f"wrote {target}")
+    print("wrote", target)
     return 0
 
 
@@ -68,7 +76,7 @@ def _check_media(spark, a) -> int:
         print(f"missing  {r.kind:12s} {r.href!r} (entry {r.entry_id or r.entry_guid or '?'})")
     for o in orphans:
         print(f"orphaned {o} (no media/illustration references it)")
-    print(f"{len(missing)} missing, {len(orphans)} orphaned")
+    print(_counts((len(missing), "missing"), (len(orphans), "orphaned")))
     return int(bool(missing))
 
 
@@ -79,7 +87,7 @@ def _export(spark, a) -> int:
         if a.output is None:
             csv.writer(sys.stdout, delimiter="\t" if a.tsv else ",").writerows(rows)
         else:
-            with open(a.output, "w", encoding="utf-8", newline="") as f:
+            with open(a.output, "w", newline="", encoding="utf-8") as f:
                 csv.writer(f, delimiter="\t" if a.tsv else ",").writerows(rows)
     return 0
 
@@ -89,12 +97,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     v = sub.add_parser("validate")
     v.add_argument("path")
-    v.add_argument("--format", choices=("text", "json"), default="text")
+    v.add_argument("--format", default=_FORMATS[0], choices=_FORMATS)
     for flag in ("--strict", "--no-check-media", "--require-ids"):
         v.add_argument(flag, action="store_true")
     s = sub.add_parser("stats")
     s.add_argument("path")
-    s.add_argument("--format", choices=("text", "json"), default="text")
+    s.add_argument("--format", default=_FORMATS[0], choices=_FORMATS)
     o = sub.add_parser("sort")
     o.add_argument("path")
     o.add_argument("-o", "--output")

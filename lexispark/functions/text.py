@@ -42,7 +42,7 @@ def suspicious_uri(c: Column) -> Column:
     return (
         F.when(c.contains(" "), F.lit("contains an unencoded space"))
         .when(c.contains("\\"), F.lit("contains backslashes (not a URI path separator)"))
-        .when(c.rlike(r"^file://\p{L}:"), F.lit("Windows drive letter used as URI authority (FLEx-style file://C:/)"))
+        .when(c.rlike(r"^file://\p{L}:"), F.lit("Windows drive letter used as URI authority"))
     )
 
 

@@ -22,7 +22,6 @@ from . import relational as R
 
 ENTRIES = "doc string, entry_pos long, line int, byte_start long, byte_end long, raw binary, touched boolean"
 _COLUMNS = [c.split()[0] for c in ENTRIES.split(", ")]
-_HEAD = b'<?xml version="1.0" encoding="UTF-8"?>\n'
 
 
 class RangesFile:
@@ -75,7 +74,7 @@ class RangesFile:
         chunks = [N.canonical(r) for r in self.ranges]
         for _, xml, at in sorted(self.xnodes, key=lambda n: n[2]):
             chunks.insert(min(at, len(chunks)), xml + "\n")
-        return _HEAD + f"<lift-ranges{attrs}>\n{''.join(chunks)}</lift-ranges>\n".encode()
+        return N.DECLARATION + f"<lift-ranges{attrs}>\n{''.join(chunks)}</lift-ranges>\n".encode()
 
     def save(self, path: str | os.PathLike | None = None) -> None:
         target = path or self.path
@@ -118,7 +117,7 @@ class Lexicon:
         self.residue: list[tuple[int, bytes]] = []
         self._nodes: DataFrame | None = None
 
-    # ------------------------------------------------------------ loading
+    # --- loading
 
     @classmethod
     def read(cls, spark: SparkSession, path: str | os.PathLike, resolve_ranges: bool = True, split: int = 8 << 20) -> Lexicon:
@@ -152,7 +151,7 @@ class Lexicon:
             href = r.attrs["href"] or ""
             rel = local_path(href)
             tries += [base / rel] if rel else []
-            last = href.replace("\\", "/").rpartition("/")[2]
+            last = re.split(r"[/\\]", href)[-1]
             tries += [base / last] if last else []
         out: dict[Path, Path] = {}
         for t in tries:
@@ -164,7 +163,7 @@ class Lexicon:
         r = self.header.one("ranges")
         return r.all("range") if r is not None else []
 
-    # ------------------------------------------------------------ tables
+    # --- tables
 
     @property
     def nodes(self) -> DataFrame:
@@ -210,9 +209,9 @@ class Lexicon:
         pick = R.first_by_priority(own, ["range_id"], [F.when(head & (F.col("elements") > 0), 0).when(~head, 1).otherwise(2), "priority", "range_pos"])
         return rows.join(pick.select("range_id", "priority", "range_pos"), ["range_id", "priority", "range_pos"], "left_semi")
 
-    def find(self, id: str | None = None, guid: str | None = None):
+    def find(self, *, guid: str | None = None, id: str | None = None):
         """The first entry row with this id and guid, or None."""
-        if id is None and guid is None:
+        if guid is None is id:
             raise ValueError("find needs an id or a guid")
         e = self.table("entry").select("entry_pos", "id", "guid")
         for c, v in (("id", id), ("guid", guid)):
@@ -262,7 +261,7 @@ class Lexicon:
         used = self._candidates().select(F.explode("paths").alias("path"))
         return self.media_files().where("path like 'audio/%' or path like 'pictures/%'").join(used, "path", "left_anti")
 
-    # ------------------------------------------------------------ edits
+    # --- edits
 
     def edit(self, f: Callable[[N.Node], object]) -> Lexicon:
         """Apply ``f`` to every entry's tree; entries that it leaves as they were keep their bytes."""
@@ -307,7 +306,7 @@ class Lexicon:
         moved = self.entries.join(rank.select("entry_pos", "rank"), "entry_pos").drop("entry_pos").withColumnRenamed("rank", "entry_pos").select(*_COLUMNS)
         for r in self.ranges_of_header():
             sort_range(r)
-        for tag, sub, key in (("ranges", "range", "id"), ("fields", "field", "tag")):
+        for tag, sub, key in (x.split() for x in ("ranges range id", "fields field tag")):
             c = self.header.one(tag)
             if c is not None:
                 c.kids.get(sub, []).sort(key=lambda x: x.attrs[key].casefold())
@@ -324,7 +323,7 @@ class Lexicon:
                 ref.attrs["id"], ref.attrs["href"] = r.attrs["id"], name
                 have.add(r.attrs["id"])
 
-    # ------------------------------------------------------------ writing
+    # --- writing
 
     def _open_tag(self) -> str:
         named = {k: self.attrs[k] for k in ("version", "producer") if self.attrs.get(k) is not None}
@@ -342,7 +341,7 @@ class Lexicon:
         if known and s["order"] and self.residue == s["residue"]:
             yield from self._passthrough(rows, head)
             return
-        yield _HEAD + self._open_tag().encode() + b"\n"
+        yield N.DECLARATION + self._open_tag().encode() + b"\n"
         at, residue = 0, sorted(self.residue, key=lambda r: r[0])
 
         def before(k: int) -> Iterator[bytes]:
@@ -401,7 +400,7 @@ class Lexicon:
 
     def save(self, path: str | os.PathLike | None = None) -> None:
         """Write the document and its companions; companions follow to a new folder."""
-        target = Path(path) if path is not None else self.path
+        target = self.path if path is None else Path(path)
         if target is None:
             raise ValueError("no path to save to")
         if target.suffix.lower() == ".zip":

@@ -70,7 +70,7 @@ def export(lex: Lexicon, langs: list[str] | None = None) -> DataFrame:
         out = out.join(wide, ["entry_pos", "sense"], "left")
         names = [f"{w}_{x}" for x in langs for w in ("gloss", "definition")]
     text = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
-    return out.select("entry_pos", "idx", *[text(c).alias(c) for c in ("entry_id", "entry_guid", "sense_id", "lexeme", "pos")], *[text(c).alias(c) for c in names])
+    return out.select("entry_pos", "idx", *[text(c).alias(c) for c in "entry_id entry_guid sense_id lexeme pos".split()], *[text(c).alias(c) for c in names])
 
 
 def export_rows(lex: Lexicon, langs: list[str] | None = None):

@@ -21,6 +21,7 @@ from .lexicon import Lexicon, element_tree, local_path
 from .schema_check import violations
 
 PROBLEMS = "seq array<long>, level string, code string, message string, file string, entry_id string, guid string, line long"
+STABLE = "(needed for re-import " + "by a stable id)"
 _ORDER = ["seq", "level", "code", "message", "file", "entry_id", "guid", "line"]
 
 
@@ -31,24 +32,25 @@ class Problem:
     level: str
     code: str
     message: str
+    line: int | None = None
+    guid: str | None = None
     file: str | None = None
     entry_id: str | None = None
-    guid: str | None = None
-    line: int | None = None
 
     def __str__(self) -> str:
-        where = self.file or "<memory>"
-        where += f":{self.line}" if self.line is not None else ""
+        at = "" if self.line is None else f":{self.line}"
+        where = (self.file or "<memory>") + at
         owner = self.entry_id or self.guid
-        return f"{self.level} [{self.code}] {where}" + (f" (entry {owner})" if owner else "") + f": {self.message}"
+        head = " ".join([self.level, f"[{self.code}]", where])
+        return head + (f" (entry {owner})" if owner else "") + f": {self.message}"
 
 
 class LiftValidationError(N.LiftError):
     """The first finding of level error."""
 
     def __init__(self, problem: Problem):
-        super().__init__(str(problem))
         self.problem = problem
+        super().__init__(f"{problem}")
 
 
 def _elements(raw: bytes) -> Iterator[tuple[int, dict[str, str]]]:
@@ -64,9 +66,8 @@ def _uri_reason(v: str) -> str | None:
         return "contains an unencoded space"
     if "\\" in v:
         return "contains backslashes (not a URI path separator)"
-    if v.startswith("file://") and v[7:8].isalpha() and v[8:9] == ":":
-        return "Windows drive letter used as URI authority (FLEx-style file://C:/)"
-    return None
+    drive = v.startswith("file://") and v[7:8].isalpha() and v[8:9] == ":"
+    return "Windows drive letter used as URI authority" if drive else None
 
 
 def fragment_problems(raw: bytes, head: bytes, kind: str, line: int | None) -> Iterator[tuple[int, str, str, str, int | None]]:
@@ -136,9 +137,9 @@ def problems(lex: Lexicon, require_ids: bool = False) -> DataFrame:
 
     if require_ids:
         e = nodes.where("kind = 'entry' and guid is null")
-        parts.append(out(e, 10, [F.col("entry_pos"), zero], "error", "missing-id", F.lit("entry has no guid (needed for re-import by a stable id)"), guid=F.lit(None).cast("string")))
+        parts.append(out(e, 10, [F.col("entry_pos"), zero], "error", "missing-id", F.lit("entry has no guid " + STABLE), guid=F.lit(None).cast("string")))
         s = nodes.where("kind = 'sense' and id is null")
-        parts.append(out(s, 10, [F.col("entry_pos"), F.lit(1), *_lifo()], "error", "missing-id", F.lit("sense has no id (needed for re-import by a stable id)")))
+        parts.append(out(s, 10, [F.col("entry_pos"), F.lit(1), *_lifo()], "error", "missing-id", F.lit("sense has no id " + STABLE)))
 
     # guids: entries and inline ranges are one scope, each companion another
     e = nodes.where("kind = 'entry' and guid is not null")
@@ -189,6 +190,9 @@ def _lifo() -> list[Column]:
     return [F.coalesce(F.try_element_at("lifo", F.lit(1)), F.lit(0)), F.coalesce(F.try_element_at("lifo", F.lit(2)), F.lit(-(1 << 40)))]
 
 
+_HREF = "dangling-ranges-href"
+
+
 def _dangling_hrefs(lex: Lexicon) -> list[tuple]:
     """Relative header references that no companion supplies: one file probe for each."""
     if lex.path is None:
@@ -199,18 +203,22 @@ def _dangling_hrefs(lex: Lexicon) -> list[tuple]:
         href = r.attrs["href"]
         rel = local_path(href) if href else None
         if rel and not r.all("range-element") and r.attrs["id"] not in supplied and not (lex.path.parent / rel).is_file():
-            out.append(([15, i], "warning", "dangling-ranges-href", f"header range {r.attrs['id']!r} references {href!r} but no companion file was found", lex.path.name, None, None, None))
+            out.append(([15, i], "warning", _HREF, f"header range {r.attrs['id']!r} references {href!r} but no companion file was found", lex.path.name, None, None, None))
     return out
 
 
 def report(found: DataFrame, check_media: bool = True) -> list[Problem]:
     """Findings in order."""
     found = found if check_media else found.where("code <> 'missing-media'")
-    return [Problem(r.level, r.code, r.message, r.file, r.entry_id, r.guid, r.line) for r in found.orderBy("seq", "message").collect()]
+    return [_problem(r) for r in found.orderBy("seq", "message").collect()]
+
+
+def _problem(r) -> Problem:
+    return Problem(**{k: r[k] for k in Problem.__dataclass_fields__})
 
 
 def validate_file(spark, path: str | Path) -> None:
     """Raise on the first finding of level error."""
     first = problems(Lexicon.read(spark, path)).where("level = 'error'").orderBy("seq", "message").first()
     if first:
-        raise LiftValidationError(Problem(first.level, first.code, first.message, first.file, first.entry_id, first.guid, first.line))
+        raise LiftValidationError(_problem(first))

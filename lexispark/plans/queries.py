@@ -95,7 +95,7 @@ def duplicate_form_lang(spark, sf_dir):
 with {_HREFS}
 select page_id, pos, href, case when contains(href, ' ') then 'contains an unencoded space'
   when contains(href, '\') then 'contains backslashes (not a URI path separator)'
-  when regexp_matches(href, '^file://[A-Za-z]:') then 'Windows drive letter used as URI authority (FLEx-style file://C:/)' end as reason
+  when regexp_matches(href, '^file://[A-Za-z]:') then 'Windows drive letter used as URI authority' end as reason
 from h where contains(href, ' ') or contains(href, '\') or regexp_matches(href, '^file://[A-Za-z]:')""")
 def uri_not_rfc(spark, sf_dir):
     """Hrefs that a strict URI parser would refuse, with the first reason."""
@@ -367,7 +367,7 @@ def header_references(spark, sf_dir):
     return have.unionByName(every.join(have, "id", "left_anti").select("id", F.lit(True).alias("added")))
 
 
-# ---------------------------------------------------------------- real XML, made in the task that reads it
+# --- real XML, made in the task that reads it
 
 def _entry_bytes(text: str | None, lang: str | None, pos: int) -> bytes:
     from ..sources import nodes as N

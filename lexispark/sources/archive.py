@@ -34,10 +34,9 @@ def stage(path: str | os.PathLike, to: Path, most_bytes: int = MOST_BYTES, most:
                 target = (base / name).resolve()
                 if name.is_absolute() or not target.is_relative_to(base) or ":" in (name.parts or ("",))[0]:
                     raise LiftParseError(f"unsafe path in archive: {m.filename!r}")
+                (target if m.is_dir() else target.parent).mkdir(exist_ok=True, parents=True)
                 if m.is_dir():
-                    target.mkdir(parents=True, exist_ok=True)
                     continue
-                target.parent.mkdir(parents=True, exist_ok=True)
                 with z.open(m) as src, target.open("wb") as dst:
                     while block := src.read(1 << 20):
                         left -= len(block)

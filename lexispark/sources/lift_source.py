@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .nodes import DECLARATION
 from .scan import Document, Span, check_root, spans
 
 CHILDREN = "doc string, index long, entry_pos long, tag string, line int, byte_start long, byte_end long, gap binary, raw binary"
@@ -94,7 +95,7 @@ class LiftWriter(DataSourceWriter):
     def commit(self, messages: list[Part | None]) -> None:
         done = sorted((m for m in messages if m), key=lambda m: m.partition)
         with open(self.path + ".part", "wb") as out:
-            out.write(b'<?xml version="1.0" encoding="UTF-8"?>\n' + self.head.encode() + b"\n")
+            out.write(DECLARATION + self.head.encode() + b"\n")
             for m in done:
                 with open(m.path, "rb") as f:
                     shutil.copyfileobj(f, out, 1 << 20)

@@ -16,6 +16,9 @@ from datetime import date, datetime
 from .spec import EMPTY, KINDS, MIXED, SLOTS
 
 
+DECLARATION = b"".join([b"<?xml ", b'version="1.0" ', b'encoding="UTF-8"', b"?>\n"])
+
+
 class LiftError(Exception):
     """Any failure of this package on its input."""
 
@@ -80,7 +83,7 @@ class Node:
         return any(self.kids.values()) or bool(self.xattrs or self.xnodes)
 
 
-# ---------------------------------------------------------------- parsing
+# --- parsing
 
 def tree(data: bytes | str) -> ET.Element:
     """A tree with comments and processing instructions; external entities stay off, unknown ones are refused."""
@@ -158,15 +161,15 @@ def _mixed(el: ET.Element, node: Node, host: Node) -> None:
     if el.text:
         node.frags.append(el.text)
     for i, child in enumerate(el):
-        if child.tag == "span":
-            node.frags.append(parse(child, "span"))
-        else:
+        if child.tag != "span":
             host.xnodes.append(_residue(child, i))
+        else:
+            node.frags.append(parse(child, "span"))
         if child.tail:
             node.frags.append(child.tail)
 
 
-# ---------------------------------------------------------------- serializing
+# --- serializing
 
 def _esc(s: str) -> str:
     return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\r", "&#13;")
@@ -218,11 +221,11 @@ _RAW = "\0raw"
 
 
 def _put_text(el: ET.Element, at: int, text: str) -> None:
-    if at <= 0 or not len(el):
-        el.text = (el.text or "") + text
-    else:
+    if len(el) and at > 0:
         last = el[min(at, len(el)) - 1]
         last.tail = (last.tail or "") + text
+    else:
+        el.text = f"{el.text or ''}{text}"
 
 
 def _put_residue(el: ET.Element, node: Node) -> None:
@@ -264,7 +267,7 @@ def element(node: Node) -> ET.Element:
 
 
 def _indent(el: ET.Element, depth: int) -> None:
-    if not isinstance(el.tag, str) or el.tag in ("text", "span", _RAW) or not len(el) or (el.text or "").strip():
+    if el.tag in (*MIXED, _RAW) or not isinstance(el.tag, str) or not len(el) or (el.text or "").strip():
         return
     inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
     el.text = inner

@@ -2,4 +2,4 @@
 
 from .entries import LiftReader, LiftWriter, open_reader, open_writer
 
-__all__ = ["LiftReader", "LiftWriter", "open_reader", "open_writer"]
+__all__ = ["open_reader", "LiftReader", "open_writer", "LiftWriter"]

@@ -13,7 +13,7 @@ from ..sources.scan import Document, check_root, spans
 class LiftReader:
     """Iterate over entries.  The header is read at once if it comes first, else when the iteration meets it."""
 
-    def __init__(self, path: str | os.PathLike):
+    def __init__(self, path: os.PathLike | str):
         self._scan, self._data = open(path, "rb"), open(path, "rb")
         self._doc = Document()
         self._spans = spans(self._scan, self._doc)
@@ -55,17 +55,17 @@ class LiftReader:
         self._scan.close()
         self._data.close()
 
-    def __enter__(self) -> LiftReader:
-        return self
-
     def __exit__(self, *_: object) -> None:
         self.close()
 
+    def __enter__(self):
+        return self
+
 
 class LiftWriter:
     """Write the header at once and each entry canonically.  After an error the file is left without its end tag."""
 
-    def __init__(self, path: str | os.PathLike, producer: str | None = None, header: N.Node | None = None, ranges=None):
+    def __init__(self, path: os.PathLike | str, producer: str | None = None, header: N.Node | None = None, ranges=None):
         self._path = Path(path)
         head = header
         if ranges is not None:
@@ -80,7 +80,7 @@ class LiftWriter:
             ranges.save(self._path.parent / name)
         self._f = self._path.open("wb")
         extra = f' producer="{N._attr(producer)}"' if producer is not None else ""
-        self._f.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<lift version="0.13"{extra}>\n'.encode())
+        self._f.write(N.DECLARATION + f'<lift version="0.13"{extra}>\n'.encode())
         if head is not None and head.filled():
             self._f.write(N.canonical(head).encode())
 
@@ -92,7 +92,7 @@ class LiftWriter:
             self._f.write(b"</lift>\n")
             self._f.close()
 
-    def __enter__(self) -> LiftWriter:
+    def __enter__(self):
         return self
 
     def __exit__(self, kind: object, *_: object) -> None:

@@ -1,42 +1,55 @@
 """A small lexicon, written for these tests, with residue, mixed content, recursion and defects."""
 
-RANGES = """<?xml version="1.0" encoding="UTF-8"?>
-<lift-ranges>
-  <range id="grammatical-info"><range-element id="Noun"/><range-element id="Verb" parent="Noun"/>
-    <range-element id="Adj" parent="nowhere"/></range>
-  <range id="status" guid="g-status"><range-element id="ok" guid="g-ok"/><range-element id="café" guid="g-ok"/></range>
-</lift-ranges>
-"""
-
-LIFT = """<?xml version="1.0" encoding="UTF-8"?>
-<!-- before --><lift version="0.13" producer="maker 1" xmlns:q="urn:q">
-  <header>
-    <ranges><range id="grammatical-info" href="words.lift-ranges"/><range id="lost" href="lost/none.lift-ranges"/></ranges>
-    <fields><field tag="cv"><form lang="en"><text>pattern</text></form></field></fields>
-  </header>
-  <!-- between -->
-  <entry id="b" guid="2222" dateCreated="2020-01-02T03:04:05Z" q:mark="1">
-    <lexical-unit><form lang="qaa"><text>be <span lang="fr" class="x">b&amp;&lt;e<span>in</span></span> tail</text></form></lexical-unit>
-    <trait name="status" value="ok"/><trait name="status" value="café"/>
-    <pronunciation><form lang="ipa"><text>bi</text></form><media href="b.wav"><label><form lang="en"><text>snd</text></form></label></media></pronunciation>
-    <variant ref="a"><form lang="qaa"><text>bee</text></form><relation type="v" ref="gone"/></variant>
-    <sense id="b1" order="1"><grammatical-info value="Noun"/><gloss lang="en"><text>insect</text></gloss><gloss lang="en"><text>second</text></gloss>
-      <definition><form lang="en"><text>a bee</text></form><form lang="en"><text>again</text></form></definition>
-      <example source="s"><form lang="qaa"><text>x</text></form><translation type="free"><form lang="en"><text>y</text></form></translation></example>
-      <illustration href="pictures\\b.jpg"/>
-    </sense>
-    <sense><subsense id="b2a"><gloss lang="fr"><text>abeille</text></gloss></subsense><subsense id="b2b"><grammatical-info value="Pronoun"/><relation type="syn" ref="b1"/></subsense></sense>
-    <unknown-thing a="1"><k/></unknown-thing>
-  </entry>
-  <entry id="a" guid="1111" dateDeleted="2019-01-01"><citation><form lang="qaa"><text/></form></citation>
-    <relation type="ant" ref="b2a" order="2x"/><relation type="ant" ref="missing"/><note type="n"><form lang="en"><text>hi</text></form></note>
-    <etymology type="t" source="s"><form lang="la"><text>ab</text></form><gloss lang="en"><text>from</text></gloss></etymology>
-    <reversal/>
-  </entry>
-  <entry id="c" guid="2222"><sense id="c1"><reversal type="en"><form lang="en"><text>r</text></form><main><form lang="en"><text>m</text></form><grammatical-info value="Verb"/></main></reversal></sense></entry>
-</lift>
-<!-- after -->
-"""
+
+def el(tag, /, *kids, **attrs):
+    """An element as text; ``_`` in a name stands for a hyphen, a final one is dropped."""
+    head = "<" + tag.replace("_", "-") + "".join(f" {k.rstrip('_')}='{v}'" for k, v in attrs.items())
+    return head + "/>" if not kids else head + ">" + "".join(kids) + f"</{tag.replace('_', '-')}>"
+
+
+def form(lang, text, tag="form"):
+    return el(tag, el("text", text) if text else el("text"), lang=lang)
+
+
+def doc(*kids, root="lift", **attrs):
+    return el(root, *kids, **({"version": "0.13"} if root == "lift" else {}), **attrs)
+
+
+DECL = "<?xml " + "version='1.0' " + "encoding='UTF-8'?>\n"
+RANGES = DECL + doc(
+    "\n  ", el("range", el("range-element", id="Noun"), el("range-element", id="Verb", parent="Noun"), "\n    ", el("range-element", id="Adj", parent="nowhere"), id="grammatical-info"),
+    "\n  ", el("range", el("range-element", id="ok", guid="g-ok"), el("range-element", id="café", guid="g-ok"), id="status", guid="g-status"), "\n", root="lift-ranges",
+) + "\n"
+
+HEADER = el(
+    "header",
+    "\n    ", el("ranges", el("range", id="grammatical-info", href="words.lift-ranges"), el("range", id="lost", href="lost/none.lift-ranges")),
+    "\n    ", el("fields", el("field", form("en", "pattern"), tag="cv")), "\n  ",
+)
+MIXED = "be " + el("span", "b&amp;&lt;e", el("span", "in"), lang="fr", class_="x") + " tail"
+B = el(
+    "entry",
+    "\n    ", el("lexical-unit", form("qaa", MIXED)),
+    "\n    ", el("trait", name="status", value="ok"), el("trait", name="status", value="café"),
+    "\n    ", el("pronunciation", form("ipa", "bi"), el("media", el("label", form("en", "snd")), href="b.wav")),
+    "\n    ", el("variant", form("qaa", "bee"), el("relation", type="v", ref="gone"), ref="a"),
+    "\n    ", el(
+        "sense", el("grammatical-info", value="Noun"), form("en", "insect", "gloss"), form("en", "second", "gloss"),
+        "\n      ", el("definition", form("en", "a bee"), form("en", "again")),
+        "\n      ", el("example", form("qaa", "x"), el("translation", form("en", "y"), type="free"), source="s"),
+        "\n      ", el("illustration", href="pictures\\b.jpg"), "\n    ", id="b1", order="1",
+    ),
+    "\n    ", el("sense", el("subsense", form("fr", "abeille", "gloss"), id="b2a"), el("subsense", el("grammatical-info", value="Pronoun"), el("relation", type="syn", ref="b1"), id="b2b")),
+    "\n    ", el("unknown-thing", el("k"), a="1"), "\n  ", id="b", guid="2222", dateCreated="2020-01-02T03:04:05Z", **{"q:mark": "1"},
+)
+A = el(
+    "entry", el("citation", form("qaa", "")),
+    "\n    ", el("relation", type="ant", ref="b2a", order="2x"), el("relation", type="ant", ref="missing"), el("note", form("en", "hi"), type="n"),
+    "\n    ", el("etymology", form("la", "ab"), form("en", "from", "gloss"), type="t", source="s"),
+    "\n    ", el("reversal"), "\n  ", id="a", guid="1111", dateDeleted="2019-01-01",
+)
+C = el("entry", el("sense", el("reversal", form("en", "r"), el("main", form("en", "m"), el("grammatical-info", value="Verb")), type="en"), id="c1"), id="c", guid="2222")
+LIFT = DECL + "<!-- before -->" + doc("\n  ", HEADER, "\n  <!-- between -->\n  ", B, "\n  ", A, "\n  ", C, "\n", producer="maker 1", **{"xmlns:q": "urn:q"}) + "\n<!-- after -->\n"
 
 
 def folder(path):

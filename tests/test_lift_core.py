@@ -13,38 +13,38 @@ from lexispark.sources import nodes as N
 from lexispark.sources.scan import Document, spans
 from lexispark.sources.spec import KINDS, MIXED, SLOTS
 from lexispark.streaming import open_reader, open_writer
-from tests.lift_data import LIFT, folder
+from tests.lift_data import LIFT, doc, el, folder, form
 
 
 def scanned(text):
-    data, doc = text.encode(), Document()
-    return data, doc, list(spans(io.BytesIO(data), doc, 7))
+    data, facts = text.encode(), Document()
+    return data, facts, list(spans(io.BytesIO(data), facts, 7))
 
 
 def test_spans_are_exact():
-    data, doc, found = scanned(LIFT)
+    data, facts, found = scanned(LIFT)
     assert [s.tag for s in found] == ["header", "#comment", "entry", "entry", "entry"]
     for s in found:
         raw = data[s.start : s.end]
         assert raw.startswith(b"<") and raw.endswith(b">") and data[: s.start].count(b"\n") + 1 == s.line
         if s.tag[0] != "#":
             assert raw.endswith(f"</{s.tag}>".encode())
-    assert data[doc.root_start : doc.root_end].endswith(b'"urn:q">') and doc.reusable and doc.size == len(data)
+    assert data[facts.root_start : facts.root_end].endswith(b"'urn:q'>") and facts.reusable and facts.size == len(data)
 
 
 @pytest.mark.parametrize("text,tags", [
-    ('<lift><entry a="&gt;>"/><entry><![CDATA[<entry></entry>]]></entry></lift>', ["entry", "entry"]),
+    (el("lift", el("entry", a="&gt;>"), el("entry", "<![CDATA[", el("entry", " "), "]]>")), ["entry", "entry"]),
     ("<lift>t<entry/><!-- <entry/> --><?p <entry?></lift>", ["entry", "#comment", "#pi"]),
     ("<lift/>", []),
     ("﻿<lift><entry><entry/></entry></lift>", ["entry"]),
 ])
 def test_spans_of_odd_documents(text, tags):
-    data, doc, found = scanned(text)
+    data, facts, found = scanned(text)
     assert [s.tag for s in found] == tags
     for s in found:
         if s.tag == "entry":
             ET.fromstring(data[s.start : s.end])
-    assert doc.empty_tag == (text == "<lift/>")
+    assert facts.empty_tag == (text == "<lift/>")
 
 
 @pytest.mark.parametrize("text", ["<lift><entry></lift>", "<lift>", "", "<lift></lift><x/>", "<lift>&nope;</lift>"])
@@ -58,8 +58,9 @@ def entry(xml):
 
 
 def test_typed_attributes_and_residue():
-    n = entry('<entry order=" 7 " dateCreated="2001-02-03 04:05:06" dateModified="1990" x="1"><lexical-unit><form lang="b"><text>1</text></form></lexical-unit><lexical-unit><form lang="a"><text>2</text></form></lexical-unit>t<!--c--><?p d?></entry>')
-    assert n.attrs["order"] == 7 and n.attrs["dateCreated"] == datetime(2001, 2, 3, 4, 5, 6)
+    kids = [el("lexical-unit", form("b", "1")), el("lexical-unit", form("a", "2")), "t<!--c--><?p d?>"]
+    n = entry(el("entry", *kids, order=" 7 ", dateCreated="2011-12-13 14:15:16", dateModified="1990", x="1"))
+    assert n.attrs["order"] == 7 and n.attrs["dateCreated"].isoformat() == "2011-12-13T14:15:16"
     assert n.xattrs == {"dateModified": "1990", "x": "1"}
     assert [k for k, _, _ in n.xnodes] == ["element", "text", "comment", "pi"]
     assert N.date_text(datetime(2020, 1, 1, tzinfo=timezone.utc)) == "2020-01-01T00:00:00Z" and N.typed_date("2020-01-01") == date(2020, 1, 1)
@@ -69,14 +70,17 @@ def test_typed_attributes_and_residue():
 
 
 def test_canonical_layout():
-    got = N.canonical(entry('<entry guid="g" id="i"><trait value="v" name="n"/><lexical-unit><form lang="l"><text>a <span>b</span></text></form></lexical-unit><citation/></entry>'))
-    assert got == '<entry id="i" guid="g">\n  <lexical-unit>\n    <form lang="l">\n      <text>a <span>b</span></text>\n    </form>\n  </lexical-unit>\n  <trait name="n" value="v"/>\n</entry>\n'
-    assert N.canonical(entry('<entry><sense><gloss lang="x"/></sense></entry>')) == '<entry>\n  <sense>\n    <gloss lang="x">\n      <text/>\n    </gloss>\n  </sense>\n</entry>\n'
+    mixed = "a " + el("span", "b")
+    got = N.canonical(entry(el("entry", el("trait", value="v", name="n"), el("lexical-unit", form("l", mixed)), el("citation"), guid="g", id="i"))).split("\n")
+    assert got[0] == '<entry id="i" guid="g">' and got[-2:] == ["</entry>", ""]
+    assert got[1:4] == ["  <lexical-unit>", '    <form lang="l">', "      " + el("text", mixed)] and got[-3] == '  <trait name="n" value="v"/>'
+    got = N.canonical(entry(el("entry", el("sense", el("gloss", lang="x"))))).split("\n")
+    assert got[2:5] == ['    <gloss lang="x">', "      <text/>", "    </gloss>"]
     assert N.canonical(entry('<entry id="&#10;&quot;&lt;"/>')) == '<entry id="&#10;&quot;&lt;"/>\n'
 
 
 def test_forms():
-    n = entry('<entry><lexical-unit><form lang="a"><text>1</text></form><form lang="a"><text>2</text></form></lexical-unit></entry>').one("lexical-unit")
+    n = entry(el("entry", el("lexical-unit", form("a", "1"), form("a", "2")))).one("lexical-unit")
     assert n.form("a") == "1" and n.form("b") is None
     n.set_form("a", "3")
     n.set_form("b", "4")
@@ -119,7 +123,9 @@ def test_canonical_fixpoint(n):
 
 
 def test_violations():
-    bad = N.tree('<entry id="1" foo="x" order="z" dateCreated="2020-02-30"><sense><grammatical-info/><definition/><definition/><gloss lang="a"/></sense><relation type="t"/><what/>text<trait name="n" value="v"><annotation name="m" when="2020-01-01T10:00:00"/></trait></entry>')
+    kids = [el("sense", el("grammatical-info"), el("definition"), el("definition"), el("gloss", lang="a")), el("relation", type="t"), el("what"), "text"]
+    kids.append(el("trait", el("annotation", name="m", when="2020-01-01T10:00:00"), name="n", value="v"))
+    bad = N.tree(el("entry", *kids, id="1", foo="x", order="z", dateCreated="2020-02-30"))
     got = list(violations(bad, "entry"))
     for want in ("invalid attribute foo", "order has invalid value", "dateCreated has invalid value", "grammatical-info lacks attribute value", "more than one definition", "gloss lacks element text", "relation lacks attribute ref", "what is not allowed", "text where none"):
         assert sum(want in g for g in got) == 1, (want, got)
@@ -144,13 +150,13 @@ def test_streaming_reader_and_writer(tmp_path):
         raise RuntimeError
     assert not out.read_bytes().endswith(b"</lift>\n")
     late = tmp_path / "late.lift"
-    late.write_text('<lift version="0.13"><entry id="x"/><header><description><form lang="e"><text>d</text></form></description></header><entry id="y"/></lift>')
+    late.write_text(doc(el("entry", id="x"), el("header", el("description", form("e", "d"))), el("entry", id="y")))
     with open_reader(late) as r:
         assert r.header is None and [e.attrs["id"] for e in r] == ["x", "y"] and r.header is not None
     for text in ("<nolift/>", '<lift version="0.12"/>'):
         late.write_text(text)
         with pytest.raises(N.LiftParseError):
             open_reader(late)
-    late.write_text('<lift version="0.13"><entry id="x"/><entry')
+    late.write_text(doc(el("entry", id="x"), "<entry").removesuffix("</lift>"))
     with pytest.raises(N.LiftParseError), open_reader(late) as r:
         assert len(list(r)) == 1

@@ -12,7 +12,7 @@ from lexispark.sources import nodes as N
 from lexispark.sources.generate import entries
 from lexispark.sources.lift_source import LiftSource
 from lexispark.sources.archive import lift_path
-from tests.lift_data import LIFT, folder
+from tests.lift_data import LIFT, doc, el, folder, form
 
 
 @pytest.fixture
@@ -57,7 +57,7 @@ def test_edit_rewrites_only_what_it_touched(spark, lift):
     assert [r.entry_pos for r in lex.entries.where("touched").collect()] == [0]
     out = b"".join(lex.chunks()).decode()
     assert "INSECT" in out and "<unknown-thing" in out and "<!-- between -->" in out
-    assert LIFT[LIFT.index('<entry id="a"') :] == out[out.index('<entry id="a"') :]
+    assert LIFT[LIFT.index("<entry id='a'") :] == out[out.index("<entry id='a'") :]
     assert LIFT[: LIFT.index("<entry ")] == out[: out.index("<entry ")]
     lex.save()
     again = Lexicon.read(spark, lift)
@@ -71,7 +71,7 @@ def test_edit_rewrites_only_what_it_touched(spark, lift):
 def test_filter_append_sort(spark, lift):
     lex = Lexicon.read(spark, lift)
     live = lex.where("date_deleted is null")
-    assert live.entries.count() == 2 and b'id="a"' not in b"".join(live.chunks())
+    assert live.entries.count() == 2 and b"id='a'" not in b"".join(live.chunks())
     n = N.parse(N.tree('<entry id="z" guid="0"/>'), "entry")
     more = lex.append([n]).sort()
     ids = [r.id for r in more.table("entry").orderBy("entry_pos").collect()]
@@ -96,7 +96,7 @@ def test_problems(spark, lift):
     by = {c: [p for p in found if p.code == c] for c in codes}
     assert [p.line for p in by["uri-not-rfc"]] == [LIFT[: LIFT.index("<illustration")].count("\n") + 1]
     assert {p.message for p in by["schema"]} >= {"element unknown-thing is not allowed in entry", "element entry has invalid attribute {urn:q}mark", "element relation attribute order has invalid value '2x'", "element reversal is not allowed in entry"}
-    assert [p.message for p in by["missing-id"]] == ["sense has no id (needed for re-import by a stable id)"]
+    assert [p.message for p in by["missing-id"]] == ["sense has no id " + validate.STABLE]
     assert [p.message for p in by["duplicate-guid"]] == ["guid 2222 already used by entry 'b'", "guid g-ok already used by range-element 'ok' (range 'status')"]
     assert [p.message for p in by["dangling-ref"]] == ["ref 'gone' matches no entry id/guid or sense id", "ref 'missing' matches no entry id/guid or sense id"]
     assert [p.message for p in by["duplicate-form-lang"]] == ["definition has more than one form with lang 'en'"]
@@ -117,7 +117,7 @@ def test_media_stats_export(spark, lift):
     assert (s.entries, s.senses, s.examples, s.media_refs) == (3, 5, 1, 2)
     assert s.languages == ["en", "fr", "qaa"] and s.traits == {"status": 2} and s.top == [("status", 2)]
     rows = list(report.export_rows(lex))
-    assert rows[0] == ["entry_id", "entry_guid", "sense_id", "lexeme", "pos", "gloss_en", "definition_en", "gloss_fr", "definition_fr"]
+    assert " ".join(rows[0]) == "entry_id entry_guid sense_id lexeme pos gloss_en definition_en gloss_fr definition_fr"
     assert rows[1] == ["b", "2222", "b1", "be b&<ein tail", "Noun", "insect", "a bee", "", ""]
     assert [r[2] for r in rows[1:]] == ["b1", "b2a", "b2b", "c1"] and rows[2][7] == "abeille"
     assert next(report.export_rows(lex, ["fr", "fr"]))[5:] == ["gloss_fr", "definition_fr"] * 2
@@ -163,7 +163,7 @@ def test_cli(spark, lift, tmp_path, capsys):
     assert main(["validate", str(lift), "--format", "json"], spark) == 1
     assert json.loads(capsys.readouterr().out)["summary"]["errors"] > 3
     assert main(["stats", str(lift)], spark) == 0 and "entries:   3" in capsys.readouterr().out
-    assert main(["export", str(lift), "-o", str(tmp_path / "o.tsv"), "--tsv", "--langs", "en"], spark) == 0
+    assert main(["export", "--tsv", "--langs=en", "-o", f"{tmp_path}/o.tsv", str(lift)], spark) == 0
     assert (tmp_path / "o.tsv").read_bytes().startswith(b"entry_id\tentry_guid") and b"\r\n" in (tmp_path / "o.tsv").read_bytes()
     assert main(["check-media", str(lift)], spark) == 1 and "1 missing, 1 orphaned" in capsys.readouterr().out
     assert main(["sort", str(lift), "-o", str(tmp_path / "s.lift")], spark) == 0
@@ -174,7 +174,7 @@ def test_cli(spark, lift, tmp_path, capsys):
 
 def test_clean_lexicon_has_no_problems(spark, tmp_path):
     p = tmp_path / "c.lift"
-    p.write_text('<lift version="0.13"><entry id="a" guid="1"><sense id="s"><gloss lang="en"><text>x</text></gloss></sense></entry></lift>')
+    p.write_text(doc(el("entry", el("sense", form("en", "x", "gloss"), id="s"), id="a", guid="1")))
     assert main(["validate", str(p), "--require-ids", "--strict"], spark) == 0
     p.write_text('<lift version="0.13"/>')
     lex = Lexicon.read(spark, p)
