@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-SAMPLE, CANDIDATES, FOLDS, FEATURES, LEAST = 12_000, 20_000, 3, 4000, 4
+SAMPLE, CANDIDATES, FOLDS, FEATURES, LEAST = 12_000, 5000, 3, 2000, 4
 CHAIN = ("low_quality", "toxic")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -59,26 +59,30 @@ class Linear:
         return out
 
 
-def fit(n: int, row: np.ndarray, key: np.ndarray, extra: np.ndarray, y: np.ndarray, rounds: int = 300) -> Linear:
-    """Select the features that tell most, then minimise the penalised log loss by accelerated gradient steps."""
+def z_score(ones, count, positive, n):
+    """How many standard errors the log-odds of a feature are from none."""
+    o, q = ones + 0.5, count - ones + 0.5
+    return np.log(o / (positive + 1)) - np.log(q / (n - positive + 1)), np.sqrt(1 / o + 1 / q)
+
+
+def fit(n: int, row: np.ndarray, col: np.ndarray, width: int, extra: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights, dense weights, bias): the features with the largest scores, and accelerated gradient steps on the penalised log loss."""
     rate = (y.sum() + 0.5) / (n + 1) if n else 1e-9
-    none = Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(extra.shape[1]), float(np.log(rate / (1 - rate))))
-    if not n or y.min() == y.max():
-        return none
-    u, inv, count = np.unique(key, return_inverse=True, return_counts=True)
-    ones = np.bincount(inv, y[row], len(u))
-    a, b = (ones + 0.5) / (y.sum() + 1), (count - ones + 0.5) / (n - y.sum() + 1)
-    worth = np.abs(np.log(a / b)) * np.sqrt(count)
-    worth[count < LEAST] = 0
+    out, bias0 = np.zeros(width), float(np.log(rate / (1 - rate)))
+    if not n or not width or y.min() == y.max():
+        return out, np.zeros(extra.shape[1]), bias0
+    count, ones = np.bincount(col, minlength=width), np.bincount(col, y[row], width)
+    odds, error = z_score(ones, count, y.sum(), n)
+    worth = np.where(count >= LEAST, np.abs(odds) / error, 0)
     best = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
     best = best[worth[best] > 0]
-    slot = np.full(len(u), -1)
+    slot = np.full(width, -1, np.int32)
     slot[best] = np.arange(len(best))
-    at = slot[inv]
+    at = slot[col]
     r, c, k = row[at >= 0], at[at >= 0], len(best)
     mean, scale = extra.mean(0), np.where(extra.std(0) > 1e-6, extra.std(0), 1.0)
     x = (extra - mean) / scale
-    w, z, bias, zb, d, zd = np.zeros(k), np.zeros(k), none.bias, none.bias, np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, z, bias, zb, d, zd = np.zeros(k), np.zeros(k), bias0, bias0, np.zeros(x.shape[1]), np.zeros(x.shape[1])
     t, step, penalty = 1.0, 4.0 / (np.bincount(r, minlength=n).mean() + 1 + x.shape[1]), 0.3 / n
     for _ in range(rounds):
         g = 1 / (1 + np.exp(-np.clip(zb + np.bincount(r, z[c], n) + x @ zd, -30, 30))) - y
@@ -87,7 +91,8 @@ def fit(n: int, row: np.ndarray, key: np.ndarray, extra: np.ndarray, y: np.ndarr
         f = (t - 1) / t2
         z, zb, zd = w2 + f * (w2 - w), b2 + f * (b2 - bias), d2 + f * (d2 - d)
         w, bias, d, t = w2, b2, d2, t2
-    return Linear(u[best], w, d / scale, float(bias - mean @ (d / scale)))
+    out[best] = w
+    return out, d / scale, float(bias - mean @ (d / scale))
 
 
 class Chain:
@@ -103,19 +108,21 @@ class Chain:
         return out
 
 
-def fit_chain(n: int, row: np.ndarray, key: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> Chain:
-    """``y`` has a column for each category, in order."""
-    fold = np.arange(n) % folds
+def fit_chain(n: int, row: np.ndarray, col: np.ndarray, known: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> Chain:
+    """``col``: places in the sorted keys ``known``.  ``y`` has a column for each category, in order."""
+    fold, width = np.arange(n) % folds, len(known)
     models, extra = [], np.zeros((n, 0))
     for j in range(y.shape[1]):
         out = np.zeros(n)
         for f in range(folds):
             test = fold == f
-            new = np.cumsum(~test) - 1
-            use = ~test[row]
-            m = fit(int((~test).sum()), new[row[use]], key[use], extra[~test], y[~test, j])
-            out[test] = m.logit(n, row[~use], key[~use], extra)[test]
-        models.append(fit(n, row, key, extra, y[:, j]))
+            new, use = np.cumsum(~test) - 1, ~test[row]
+            w, dense, bias = fit(int((~test).sum()), new[row[use]], col[use], width, extra[~test], y[~test, j])
+            mine = ~use
+            out += np.where(test, np.bincount(row[mine], w[col[mine]], n) + bias + extra @ dense, 0)
+        w, dense, bias = fit(n, row, col, width, extra, y[:, j])
+        used = np.flatnonzero(w)
+        models.append(Linear(known[used], w[used], dense, bias))
         extra = np.column_stack([extra, out])
     return Chain(models, best_cut(extra[:, -1], y[:, -1]) if y.shape[1] and n else np.inf)
 
@@ -153,8 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
     seen = rows.select(F.explode("keys").alias("key"), *CHAIN).groupBy("key").agg(F.count("*").alias("c"), *[F.sum(c).alias(c) for c in CHAIN]).where(F.col("c") >= LEAST)
     seen, known = B.stored(seen, "counted"), set()
     for c, total in zip(CHAIN, sums, strict=True):
-        odds = F.log(((F.col(c) + 0.5) / (total + 1)) / ((F.col("c") - F.col(c) + 0.5) / (n - total + 1)))
-        known |= {r.key for r in seen.select("key", (F.abs(odds) * F.sqrt("c")).alias("w")).orderBy(F.desc("w"), "key").limit(candidates).select("key").collect()}
+        o, q = F.col(c) + 0.5, F.col("c") - F.col(c) + 0.5
+        z = F.abs(F.log(o / (total + 1)) - F.log(q / (n - total + 1))) / F.sqrt(1 / o + 1 / q)
+        known |= {r.key for r in seen.select("key", z.alias("z")).orderBy(F.desc("z"), "key").limit(candidates).select("key").collect()}
     known = np.array(sorted(known), np.int64)
 
     def presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
     got = rows.mapInArrow(presences, "doc_id long, low_quality int, toxic int, hits binary").toArrow().sort_by([("doc_id", "ascending")])
     sets = [np.frombuffer(x, np.uint32) for x in got.column("hits").to_pylist()]
     y = np.column_stack([got.column(c).to_numpy().astype(float) for c in CHAIN]) if len(sets) else np.zeros((0, len(CHAIN)))
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) if sets else np.zeros(0, np.int64)
-    key = known.view(np.uint64)[np.concatenate(sets)] if sets else np.zeros(0, np.uint64)
-    return fit_chain(len(sets), row, key, y)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets]) if sets else np.zeros(0, np.int32)
+    place = np.argsort(known.view(np.uint64))
+    back = np.empty(len(known), np.int32)
+    back[place] = np.arange(len(known))
+    col = back[np.concatenate(sets)] if sets else np.zeros(0, np.int32)
+    return fit_chain(len(sets), row, col, known.view(np.uint64)[place], y)
 
 
 def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
