@@ -12,7 +12,7 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,17 @@ def owners(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def at_owners(asked: DataFrame, m: int, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``f`` over all requests to each of ``m`` owners; a partition is an owner, so no two meet in one task."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    return asked.repartitionById(m, "owner").mapInArrow(step, schema)
+
+
 # ---------------------------------------------------------------- rows in blocks
 
 def _scan_only(df: DataFrame) -> bool:

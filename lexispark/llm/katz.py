@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 KMAX = 5
+LIMIT = 5 << 20  # bytes of text that a task holds as tokens
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _ASK1 = pa.schema([("owner", pa.int32()), ("grp", pa.int32()), ("blk", pa.string()), ("run", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ASK2 = pa.schema([*_ASK1, ("hot", pa.bool_()), ("lower", pa.binary()), ("ctx", pa.binary())])
@@ -96,7 +97,7 @@ def _sequence(b: pa.RecordBatch, fold: tuple[int, int]) -> tuple[np.ndarray, np.
 
 def _ask_words(m: int, fold: tuple[int, int]):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blk, grp, run, _, b in B.sub_blocks(batches):
+        for blk, grp, run, _, b in B.sub_blocks(batches, LIMIT):
             tok, at, train, _ = _sequence(b, fold)
             u, inv = np.unique(tok, return_inverse=True)
             c = np.bincount(inv[np.repeat(train, np.diff(at))], minlength=len(u))
@@ -182,7 +183,7 @@ def _replies(path: str, grp: int, blk: str) -> dict:
 def _ask_bigrams(voc: Vocabulary, path: str, fold: tuple[int, int]):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, said = None, {}
-        for blk, grp, run, _, b in B.sub_blocks(batches):
+        for blk, grp, run, _, b in B.sub_blocks(batches, LIMIT):
             if blk != now:
                 now, said = blk, _replies(path, grp, blk)
             x = _Block(b, run, said, voc, fold)
@@ -265,7 +266,7 @@ def _weights(c: np.ndarray, f: np.ndarray, mass: np.ndarray, d: np.ndarray) -> t
 def _score(voc: Vocabulary, d: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], words: str, grams: str, fold: tuple[int, int]):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, said, said2 = None, {}, {}
-        for blk, grp, run, _, b in B.sub_blocks(batches):
+        for blk, grp, run, _, b in B.sub_blocks(batches, LIMIT):
             if blk != now:
                 now, said, said2 = blk, _replies(words, grp, blk), _replies(grams, grp, blk)
             x = _Block(b, run, said, voc, fold)
@@ -309,13 +310,12 @@ def _score(voc: Vocabulary, d: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np
 
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (7, 2)) -> DataFrame:
     """log10 probability of every text under a bigram model of the texts whose crc32(id) mod fold[0] is not fold[1]."""
-    spark = docs.sparkSession
-    m = B.owners(spark)
+    m = 2 * B.owners(docs.sparkSession)
     src, files = B.with_blocks(B.block_source(docs), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     reply = lambda t: t.where("kind = 'reply'").select("grp", "blk", "run", "owner", "hot", "payload")
 
     asked = src.mapInArrow(_ask_words(m, fold), ASK1)
-    said = B.stored(asked.groupBy("owner").applyInArrow(_own_words, SAID), "words", "kind")
+    said = B.stored(B.at_owners(asked, m, _own_words, SAID), "words", "kind")
     sizes, total, texts, n = np.zeros(m, np.int64), 0, 0, np.zeros(KMAX + 2, np.int64)
     for r in said.where("kind = 'stats'").select("owner", "payload").collect():
         head, c = B.unpack(bytes(r.payload))
@@ -325,7 +325,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = B.deliver(reply(said), files, "word-replies")
 
     asked = src.mapInArrow(_ask_bigrams(voc, words, fold), ASK2)
-    said = B.stored(asked.groupBy("owner").applyInArrow(_own_bigrams(voc), SAID), "bigrams", "kind")
+    said = B.stored(B.at_owners(asked, m, _own_bigrams(voc), SAID), "bigrams", "kind")
     n = np.zeros(KMAX + 2, np.int64)
     figures: dict[int, np.ndarray] = {}
     for r in said.where("kind in ('stats', 'hot')").select("kind", "payload").collect():
