@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import functools
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,6 +19,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, stored
+
+__all__ = ["shared_dir", "stored"]
 U64 = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,16 +32,7 @@ _IP = pow(_P, -1, 1 << 64)
 CHUNK = 1 << 20
 
 
-# ---------------------------------------------------------------- shared folder
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary folder set once."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+# --- shared folder
 
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
@@ -48,13 +40,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Cut lineage with a table in the shared folder, which outlives any executor."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def owners(spark: SparkSession) -> int:
     """Owners of a key range; the session's shuffle width, which is set to the size of the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -71,7 +56,7 @@ def at_owners(asked: DataFrame, m: int, f: Callable[[pa.Table], pa.Table], schem
     return asked.repartitionById(m, "owner").mapInArrow(step, schema)
 
 
-# ---------------------------------------------------------------- rows in blocks
+# --- rows in blocks
 
 def _scan_only(df: DataFrame) -> bool:
     """Only projections over one file relation: input_file_name() then holds in the scanning task."""
@@ -87,6 +72,10 @@ def block_source(df: DataFrame) -> DataFrame:
 
 def with_blocks(df: DataFrame, *columns) -> tuple[DataFrame, int]:
     """``columns`` and, as the last two, the split and its reply file; the number of reply files."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # else splits follow the number of executors, and a loss between two scans would move the blocks
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     n = max(1, df.rdd.getNumPartitions())
     blk = F.concat_ws("#", F.input_file_name(), F.input_file_block_start().cast("string"))
     return df.select(*columns, blk.alias("__blk"), F.pmod(F.xxhash64(blk), F.lit(n)).cast("int").alias("__grp")), n
@@ -108,7 +97,7 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.R
 def deliver(replies: DataFrame, n: int, name: str) -> str:
     """Write rows with ``grp`` to the shared folder, one folder and file for each reply group."""
     path = shared_dir(replies.sparkSession, name)
-    replies.repartition(n, "grp").write.option("compression", "zstd").partitionBy("grp").parquet(path)
+    replies.repartitionById(n, "grp").write.option("compression", "zstd").partitionBy("grp").parquet(path)
     return path
 
 
@@ -131,7 +120,7 @@ def _read(fs, path: str, blk: str) -> pa.Table:
     return t.filter(pc.equal(t.column("blk"), blk))
 
 
-# ---------------------------------------------------------------- texts as bytes
+# --- texts as bytes
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes and the offsets of a string column; null is empty."""
@@ -192,14 +181,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class SpanHash:
+    """64-bit hashes of byte spans of one text buffer, from prefix sums of a polynomial mod 2**64."""
+
+    def __init__(self, data: np.ndarray):
+        p, self.q = _powers(max(20, int(len(data)).bit_length()))
+        self.acc = np.zeros(len(data) + 1, U64)
+        np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], out=self.acc[1:])
+
+    def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mix((self.acc[e] - self.acc[s]) * self.q[s])
+
+
 def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, from prefix sums of a polynomial mod 2**64."""
-    if not len(s):
-        return np.zeros(0, U64)
-    p, q = _powers(max(20, int(len(data)).bit_length()))
-    acc = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], out=acc[1:])
-    return mix((acc[e] - acc[s]) * q[s])
+    return SpanHash(data)(s, e) if len(s) else np.zeros(0, U64)
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +220,7 @@ def squeeze(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, total[off]
 
 
-# ---------------------------------------------------------------- codes
+# --- codes
 
 _C = zstandard.ZstdCompressor(level=1)
 
@@ -344,7 +339,7 @@ def keep_rows(df: DataFrame, path: str) -> DataFrame:
 def sub_blocks(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[tuple[str, int, int, int, pa.RecordBatch]]:
     """Each split's rows in runs of about ``limit`` bytes of ``text``, the same in every scan: (blk, grp, run, first row, rows)."""
     held: list[pa.RecordBatch] = []
-    now, size, run, row = ("", 0), 0, 0, 0
+    now, size, count, run, row = ("", 0), 0, 0, 0, 0
 
     def out() -> pa.RecordBatch:
         return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -353,19 +348,19 @@ def sub_blocks(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Itera
         if (blk, grp) != now:
             if held:
                 yield *now, run, row, out()
-            held, now, size, run, row = [], (blk, grp), 0, 0, 0
+            held, now, size, count, run, row = [], (blk, grp), 0, 0, 0, 0
         _, off = text_bytes(b.column("text"))
         i, n = 0, b.num_rows
         while i < n:
-            j = max(i + 1, int(np.searchsorted(off, off[i] + limit - size, "right")) - 1)
-            if size and off[j] - off[i] + size > limit:
-                j = i
-            held += [b.slice(i, j - i)] if j > i else []
-            size += int(off[j] - off[i])
+            j = max(i, int(np.searchsorted(off, off[i] + limit - size, "right")) - 1)
+            if j == i and not count:
+                j = i + 1
+            if j > i:
+                held.append(b.slice(i, j - i))
+                size, count = size + int(off[j] - off[i]), count + j - i
             i = j
             if i < n:
-                o = out()
-                yield *now, run, row, o
-                held, size, run, row = [], 0, run + 1, row + o.num_rows
+                yield *now, run, row, out()
+                held, size, count, run, row = [], 0, 0, run + 1, row + count
     if held:
         yield *now, run, row, out()

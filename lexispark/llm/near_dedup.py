@@ -87,7 +87,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += b.num_rows
 
 
-# ---------------------------------------------------------------- trees
+# --- trees
 
 def _branches(path: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each node, the one or two coordinates that its hash selects: (rows, coordinate)."""
@@ -232,7 +232,7 @@ def _large_nodes(rows: DataFrame, tile: int = 256) -> DataFrame:
     return tiles.groupBy("path", "x", "y").applyInArrow(_tile, "a long, b long")
 
 
-# ---------------------------------------------------------------- links and components
+# --- links and components
 
 def _full_sets(path: str):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

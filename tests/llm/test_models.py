@@ -18,7 +18,7 @@ def reference():
     return lambda s: t.encode(s, add_special_tokens=False)
 
 
-# ---------------------------------------------------------------- mixing
+# --- mixing
 
 def test_raking_meets_marginals():
     cells = [(f"s{i}", lang, t, 10.0 + 7 * i + 3 * len(lang) + len(t)) for i in range(4) for lang in ("en", "de") for t in ("a", "bb", "ccc")]
@@ -43,7 +43,7 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
 
 
-# ---------------------------------------------------------------- tokens
+# --- tokens
 
 def brute(enc, text, spans, rule):
     """Tokens of character spans by a loop over bytes."""
@@ -94,7 +94,7 @@ def test_given_sections(spark, reference):
         tokens.allocate(np.array([3, 3]), np.array([0, 2]), np.array([4, 6]), "start")
 
 
-# ---------------------------------------------------------------- toxicity
+# --- toxicity
 
 def test_chain_held_out_accuracy(spark):
     r = np.random.default_rng(4)
@@ -128,7 +128,7 @@ def test_chain_without_labels(spark):
     assert toxicity.scores(df, toxicity.train(df, one)).count() == df.count()
 
 
-# ---------------------------------------------------------------- packing
+# --- packing
 
 def check_pieces(rows, ids_of, window=packing.WINDOW):
     docs, seqs = {}, {}
