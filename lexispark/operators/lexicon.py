@@ -334,7 +334,8 @@ class Lexicon:
 
     def chunks(self, canonical: bool = False) -> Iterator[bytes]:
         """The document's bytes.  Untouched parts keep theirs: all but edited nodes if order and residue are the source's."""
-        rows = self.entries.select("entry_pos", "byte_start", "byte_end", "raw").orderBy("entry_pos")
+        entries = self.entries.select("entry_pos", "byte_start", "byte_end", "raw")
+        rows = (_canonical(entries, self.root_open) if canonical else entries).orderBy("entry_pos")
         head = N.canonical(self.header).encode()
         s = self.source
         known = s is not None and not canonical
@@ -356,10 +357,9 @@ class Lexicon:
                     head = f.read(s["header"][1] - s["header"][0]) + b"\n"
             yield head
             at += 1
-        root = self.root_open
         for r in rows.toLocalIterator(prefetchPartitions=True):
             yield from before(at)
-            yield N.canonical(N.parse_fragment(root, bytes(r.raw), "entry")).encode() if canonical else bytes(r.raw) + b"\n"
+            yield bytes(r.raw) + b"\n"
             at += 1
         yield from (x + b"\n" for _, x in residue)
         yield b"</lift>\n"
@@ -430,6 +430,16 @@ class Lexicon:
             zip_folder(folder, Path(path), wrap)
 
 
+def _canonical(entries: DataFrame, head: bytes) -> DataFrame:
+    """Entries written anew, in the tasks that hold them."""
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(raw=[N.canonical(N.parse_fragment(head, b, "entry")).rstrip("\n").encode() for b in f["raw"]])
+
+    return entries.mapInPandas(step, entries.schema)
+
+
 def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``rank`` from 0: a range-partitioned sort, and each partition's rank offset; no single-task window."""
     spark = df.sparkSession

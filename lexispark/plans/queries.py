@@ -68,7 +68,7 @@ a as (select distinct value from w where doc_id % 2 = 0 and value <> '')
 select doc_id, value from w where value <> '' and nfc_normalize(value) not in (select nfc_normalize(value) from a)""")
 def undefined_range_value_nfc(spark, sf_dir):
     """First words that no even document begins with; the values are decomposed and compared in normal form C."""
-    word = F.lower(F.element_at(F.split(F.coalesce("text", F.lit("")), " "), 1))
+    word = F.lower(F.substring_index(F.coalesce("text", F.lit("")), " ", 1))
     w = A.table(spark, sf_dir, "documents").select("doc_id", F.lit("r").alias("range_id"), word.alias("word"))
     v = w.select("doc_id", "range_id", "word", nfc(F.col("word")).alias("value"))
     allowed = w.where("doc_id % 2 = 0 and word <> ''").select("range_id", nfc(F.col("word")).alias("id"))

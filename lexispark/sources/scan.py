@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
@@ -36,81 +37,83 @@ class Document:
     empty_tag: bool = False
     encoding: str = ""
     doctype: bool = False
-    text: bool = False
 
     @property
     def reusable(self) -> bool:
         return self.encoding.lower() in MIXED_ENCODINGS and not self.doctype and not self.empty_tag
 
 
+class _Window:
+    """What was fed since the last event, to find where a token ends."""
+
+    def __init__(self) -> None:
+        self.data, self.base, self.last = b"", 0, 0
+
+    def feed(self, block: bytes) -> None:
+        self.data, self.base = self.data[self.last - self.base :] + block, self.last
+
+    def after(self, start: int, ends: bytes) -> int:
+        """Position after the first ``ends`` at or after ``start``."""
+        return self.base + self.data.index(ends, start - self.base) + len(ends)
+
+    def empty(self, start: int) -> bool:
+        """Whether the element at ``start`` is one empty-element tag; no event came since it began."""
+        return self.last == start and self.data.endswith(b"/>", 0, self.tag_end(start) - self.base)
+
+    def tag_end(self, start: int) -> int:
+        """Position after a start tag, whose quoted values may hold any sign but their quote."""
+        return self.base + _TAG.match(self.data, start - self.base).end()
+
+
+_TAG = re.compile(rb"""<(?:[^"'>]|"[^"]*"|'[^']*')*>""")
+
+
 def spans(f: BinaryIO, doc: Document, step: int = 1 << 20) -> Iterator[Span]:
     """Spans in document order; ``doc`` is filled in on the way.  Raises at the first error, after what came before it."""
-    p = expat.ParserCreate()
+    p, w = expat.ParserCreate(), _Window()
     p.ordered_attributes = True
-    p.buffer_text = False
     depth, count, done = 0, 0, []
     open_span: Span | None = None
-    pending: Span | None = None
-
-    def settle() -> None:
-        nonlocal pending
-        if pending is not None:
-            pending.end = p.CurrentByteIndex
-            done.append(pending)
-            pending = None
-        elif doc.root and not doc.root_end:
-            doc.root_end = p.CurrentByteIndex
 
     def begin(tag: str, attrs: list[str]) -> None:
         nonlocal depth, open_span, count
+        w.last = p.CurrentByteIndex
         if depth == 0:
             doc.root, doc.root_start = tag, p.CurrentByteIndex
             doc.attrs = dict(zip(attrs[::2], attrs[1::2], strict=True))
-            depth = 1
-            return
-        settle()
-        if depth == 1:
+            doc.root_end = w.tag_end(doc.root_start)
+        elif depth == 1:
             open_span = Span(tag, p.CurrentByteIndex, -1, p.CurrentLineNumber, count)
             count += 1
         depth += 1
 
     def finish(_: str) -> None:
-        nonlocal depth, pending, open_span
+        nonlocal depth
         depth -= 1
-        if depth == 0:
-            if not doc.root_end and pending is None:
-                doc.empty_tag = not (p.GetInputContext() or b"").startswith(b"</")
-            settle()
+        if depth == 1:
+            start = open_span.start
+            open_span.end = w.tag_end(start) if w.empty(start) else w.after(p.CurrentByteIndex, b">")
+            done.append(open_span)
+        elif depth == 0:
             doc.close = p.CurrentByteIndex
-        else:
-            settle()
-            if depth == 1:
-                pending, open_span = open_span, None
-
-    def leaf(tag: str) -> None:
-        nonlocal pending, count
-        if depth:
-            settle()
+            doc.empty_tag = w.empty(doc.root_start)
+
+    def leaf(tag: str, ends: bytes) -> None:
+        nonlocal count
         if depth == 1:
-            pending = Span(tag, p.CurrentByteIndex, -1, p.CurrentLineNumber, count)
+            at = p.CurrentByteIndex
+            done.append(Span(tag, at, w.after(at, ends), p.CurrentLineNumber, count))
             count += 1
 
-    def other(data: str) -> None:
-        if depth:
-            settle()
-        if depth == 1 and data.strip():
-            doc.text = True
-
     p.StartElementHandler, p.EndElementHandler = begin, finish
-    p.CommentHandler = lambda _: leaf("#comment")
-    p.ProcessingInstructionHandler = lambda *_: leaf("#pi")
+    p.CommentHandler = lambda _: leaf("#comment", b"-->")
+    p.ProcessingInstructionHandler = lambda *_: leaf("#pi", b"?>")
     p.XmlDeclHandler = lambda _, enc, __: setattr(doc, "encoding", enc or "")
     p.StartDoctypeDeclHandler = lambda *_: setattr(doc, "doctype", True)
-    p.CharacterDataHandler = other
-    p.DefaultHandler = other
     try:
         while chunk := f.read(step):
             doc.size += len(chunk)
+            w.feed(chunk)
             p.Parse(chunk, False)
             yield from done
             done.clear()
