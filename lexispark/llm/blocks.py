@@ -29,7 +29,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15 | 1
 _IP = pow(_P, -1, 1 << 64)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 # --- shared folder

@@ -34,11 +34,12 @@ def _keys(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         low = B.lower_ascii(d)
         s, e, w = B.runs(_LETTER[low], o)
         row = np.repeat(np.arange(j - i), np.diff(w))
-        parts = [B.span_hash(low, s, e)]
+        hashed = B.SpanHash(low)
+        parts = [hashed(s, e)]
         rows = [row]
         for k in (4, 5, 6):
             long = e - s > k
-            parts.append(B.mix(B.span_hash(low, s[long], s[long] + k) + np.uint64(k)))
+            parts.append(B.mix(hashed(s[long], s[long] + k) + np.uint64(k)))
             rows.append(row[long])
         yield i, j, np.concatenate(rows), np.concatenate(parts)
 
@@ -100,8 +101,13 @@ class Chain:
 
     def __init__(self, models: list[Linear], cut: float):
         self.models, self.cut = models, cut
+        self.some = np.zeros(1 << 20, bool)
+        for m in models:
+            self.some[m.keys >> np.uint64(44)] = True
 
     def logits(self, n: int, row: np.ndarray, key: np.ndarray) -> np.ndarray:
+        maybe = self.some[key >> np.uint64(44)]
+        row, key = row[maybe], key[maybe]
         out = np.zeros((n, 0))
         for m in self.models:
             out = np.column_stack([out, m.logit(n, row, key, out)])
