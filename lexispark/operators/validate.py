@@ -144,15 +144,15 @@ def problems(lex: Lexicon, require_ids: bool = False) -> DataFrame:
     # guids: entries and inline ranges are one scope, each companion another
     e = nodes.where("kind = 'entry' and guid is not null")
     label = F.when(F.col("id") != "", F.concat(F.lit("entry "), py_repr(F.col("id")))).otherwise(F.concat(F.lit("entry #"), F.col("entry_pos")))
-    e = e.select(F.lit(None).cast("string").alias("file"), F.struct(F.lit(0).alias("k"), F.col("entry_pos").alias("a"), F.lit(-1).cast("long").alias("b")).alias("at"), "guid", label.alias("label"), *entry)
-    rr = lex.range_rows()
+    e = e.select(F.lit(None).cast("string").alias("file"), F.struct(F.lit(0).alias("k"), F.col("entry_pos").alias("a"), F.lit(-1).cast("long").alias("b")).alias("at"), "guid", label.alias("label"), F.lit(-1).alias("priority"), *entry)
+    rr = lex.range_rows().withColumn("priority", F.when(F.col("file").isNull(), -1).otherwise(F.col("priority")))
     none = [F.lit(None).cast("long").alias("entry_pos"), F.lit(None).cast("string").alias("entry_id"), F.lit(None).cast("string").alias("entry_guid"), F.lit(None).cast("int").alias("entry_line")]
     place = lambda b: F.struct(F.lit(1).alias("k"), F.col("range_pos").cast("long").alias("a"), b.cast("long").alias("b")).alias("at")
-    top = rr.where("range_guid is not null and coalesce(pos, 0) = 0").select("file", place(F.lit(-1)), F.col("range_guid").alias("guid"), F.concat(F.lit("range "), py_repr(F.col("range_id"))).alias("label"), *none)
-    el = rr.where("guid is not null").select("file", place(F.col("pos")), "guid", F.concat(F.lit("range-element "), py_repr(F.col("id")), F.lit(" (range "), py_repr(F.col("range_id")), F.lit(")")).alias("label"), *none)
+    top = rr.where("range_guid is not null and coalesce(pos, 0) = 0").select("file", place(F.lit(-1)), F.col("range_guid").alias("guid"), F.concat(F.lit("range "), py_repr(F.col("range_id"))).alias("label"), "priority", *none)
+    el = rr.where("guid is not null").select("file", place(F.col("pos")), "guid", F.concat(F.lit("range-element "), py_repr(F.col("id")), F.lit(" (range "), py_repr(F.col("range_id")), F.lit(")")).alias("label"), "priority", *none)
     scoped = e.unionByName(top).unionByName(el).withColumn("scope", F.coalesce("file", F.lit("")))
     d = R.duplicates(scoped, ["scope"], "guid", ["at"], "label").withColumn("file", F.coalesce("file", file))
-    parts.append(out(d, 11, [(F.col("scope") != "").cast("int"), F.xxhash64("scope") * (F.col("scope") != "").cast("int"), F.col("at.k"), F.col("at.a"), F.col("at.b")], "error", "duplicate-guid", F.concat(F.lit("guid "), "guid", F.lit(" already used by "), "first_label"), where=F.col("file"), guid=F.col("guid")))
+    parts.append(out(d, 11, [F.col("priority"), F.col("at.k"), F.col("at.a"), F.col("at.b")], "error", "duplicate-guid", F.concat(F.lit("guid "), "guid", F.lit(" already used by "), "first_label"), where=F.col("file"), guid=F.col("guid")))
 
     # references
     targets = nodes.where("kind = 'entry'").select(F.explode(F.array("id", "guid")).alias("t")).union(nodes.where("kind = 'sense'").select("id"))
