@@ -308,6 +308,13 @@ def _score(voc: Vocabulary, d: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np
     return step
 
 
+def _kept(said: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The owners' rows in a table partitioned by kind, and where it is.  Its model stays; its replies go once delivered."""
+    path = B.shared_dir(said.sparkSession, name)
+    said.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    return said.sparkSession.read.schema(said.schema).parquet(path), path
+
+
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (7, 2)) -> DataFrame:
     """log10 probability of every text under a bigram model of the texts whose crc32(id) mod fold[0] is not fold[1]."""
     m = 2 * B.owners(docs.sparkSession)
@@ -315,7 +322,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reply = lambda t: t.where("kind = 'reply'").select("grp", "blk", "run", "owner", "hot", "payload")
 
     asked = src.mapInArrow(_ask_words(m, fold), ASK1)
-    said = B.stored(B.at_owners(asked, m, _own_words, SAID), "words", "kind")
+    said, at = _kept(B.at_owners(asked, m, _own_words, SAID), "words")
     sizes, total, texts, n = np.zeros(m, np.int64), 0, 0, np.zeros(KMAX + 2, np.int64)
     for r in said.where("kind = 'stats'").select("owner", "payload").collect():
         head, c = B.unpack(bytes(r.payload))
@@ -323,9 +330,10 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         total, texts, n = total + int(head[1]), texts + int(head[2]), n + c
     voc = Vocabulary(sizes, total, texts, n)
     words = B.deliver(reply(said), files, "word-replies")
+    B.remove(docs.sparkSession, f"{at}/kind=reply")
 
     asked = src.mapInArrow(_ask_bigrams(voc, words, fold), ASK2)
-    said = B.stored(B.at_owners(asked, m, _own_bigrams(voc), SAID), "bigrams", "kind")
+    said, at = _kept(B.at_owners(asked, m, _own_bigrams(voc), SAID), "bigrams")
     n = np.zeros(KMAX + 2, np.int64)
     figures: dict[int, np.ndarray] = {}
     for r in said.where("kind in ('stats', 'hot')").select("kind", "payload").collect():
@@ -339,6 +347,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = np.array([figures[h] for h in order]).reshape(-1, KMAX + 2)
     hot = (np.array(order, np.int64), table[:, 0].astype(np.int64), table[:, 1 : KMAX + 1].astype(np.int64), table[:, KMAX + 1])
     grams = B.deliver(reply(said), files, "bigram-replies")
+    B.remove(docs.sparkSession, f"{at}/kind=reply")
     return src.mapInArrow(_score(voc, discounts(n), hot, words, grams, fold), OUT)
 
 
