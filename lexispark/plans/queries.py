@@ -375,7 +375,7 @@ def _entry_bytes(text: str | None, lang: str | None, pos: int) -> bytes:
     n = N.Node("entry", "entry")
     n.attrs["id"] = f"d{pos}"
     n.add(N.Node("lexical-unit", "multitext")).set_form(lang or "", _legal(text or ""))
-    for k, line in enumerate(_legal(text or "").split("\n")[:50]):
+    for k, line in enumerate(_legal(text or "").split("\n")):
         s = n.add(N.Node("sense", "sense"))
         s.attrs["id"], s.attrs["order"] = f"d{pos}s{k}", k
         s.set_form(lang or "", line, "gloss")

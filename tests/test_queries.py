@@ -51,5 +51,14 @@ def test_anti_joins_on_nulls(spark):
     assert [r.pos for r in R.duplicates(dup, [], "key", ["pos"], "pos").collect()] == [2]
 
 
+def test_every_line_is_a_sense(spark, con):
+    """Against brute force: the SQL of shred_senses stops at line 50."""
+    from lexispark.plans.queries import _legal
+
+    want = sorted((d, k, line) for d, t in con.sql("select doc_id, text from documents").fetchall() for k, line in enumerate(_legal(t or "").split("\n")))
+    got = sorted((r.entry_pos, r.sense, r.gloss or "") for r in E.queries()["shred_senses"](spark, DATA).collect())
+    assert got == want and max(k for _, k, _ in want) >= 50
+
+
 def test_entry_runs(spark):
     assert E.entry(spark).count() >= 0
