@@ -1,7 +1,7 @@
 """Related-document packing: a nearest-neighbour graph, greedy paths, windows filled along each path.
 
-One scan encodes every text, and stores the ids with a minwise sketch of the text's words.  Documents that are near
-in the sorted order of a sketch coordinate, and equal in it, are candidates; each keeps its best ``NEAR`` of them.
+One scan encodes every text, and stores the ids with a minwise sketch of the text's words.  Of all documents that
+are equal in a sketch coordinate, each keeps the ``NEAR`` that agree with it in most (see ``search``).
 Labels spread along the graph put related documents into one shard; a label that fills more than a shard is split.
 In a shard, a path starts at an unvisited document of least degree and goes on to the nearest unvisited neighbour
 until there is none.  Documents are laid end to end along the paths and cut at every ``WINDOW`` ids, so a shard
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .tokens import encode, vocabulary
 
-WINDOW, EOS, NEAR, SHARD, COORDINATES, REACH = 2048, 1, 4, 20_000, 4, 2
+WINDOW, EOS, NEAR, SHARD, SMALL = 2048, 1, 4, 20_000, 48
 _MUL = np.random.default_rng(77).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IDS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("grp", pa.int32()), ("blk", pa.string()), ("row", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("ids", pa.binary())])
 IDS = "doc_id long, uid long, grp int, blk string, row long, n long, sketch binary, ids binary"
@@ -66,36 +66,94 @@ def _coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             s = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(-1, 8)
-            for j in range(COORDINATES):
+            for j in range(8):
                 yield pa.RecordBatch.from_arrays([pa.array((s[:, j].astype(np.int64) << 3) + j), b.column("uid"), b.column("sketch")], names=["value", "uid", "sketch"])
 
 
-def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by value and sketch: (u, v, agreement) of equal values at most REACH apart, both ways."""
-    held: pa.RecordBatch | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        old = held.num_rows if held is not None else 0
-        if old:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        v, u = b.column("value").to_numpy(), b.column("uid").to_numpy()
-        s = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(-1, 8)
-        for k in range(1, REACH + 1):
-            i = np.flatnonzero((v[k:] == v[:-k]) & (u[k:] != u[:-k]))
-            i = i[i + k >= old]
-            score = (s[i] == s[i + k]).sum(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[i], u[i + k]])), pa.array(np.concatenate([u[i + k], u[i]])), pa.array(np.concatenate([score, score]))], names=["u", "v", "score"])
-        held = b.slice(max(0, b.num_rows - REACH))
+def _ranks(s: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Agreement of rows (i, j) above 24 bits of a hash of the pair, which spreads ties; -1 for a row with itself."""
+    score = np.zeros(np.broadcast_shapes(i.shape, j.shape), np.int32)
+    for k in range(8):
+        score += s[i, k] == s[j, k]
+    tie = (u[i] ^ u[j]).astype(np.uint64) * _MUL[0] >> np.uint64(40)
+    return np.where(u[i] == u[j], -1, (score << 24) | tie.astype(np.int32))
+
+
+def _top(u: np.ndarray, v: np.ndarray, rank: np.ndarray, near: int) -> tuple[np.ndarray, ...]:
+    """The ``near`` best different v of each u."""
+    o = np.lexsort((v, -rank, u))
+    u, v, rank = u[o], v[o], rank[o]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (rank[1:] != rank[:-1])
+    u, v, rank = u[new], v[new], rank[new]
+    at = np.arange(len(u)) - np.searchsorted(u, u)
+    return u[at < near], v[at < near], rank[at < near]
+
+
+def search(value: np.ndarray, u: np.ndarray, s: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, ...]:
+    """(u, v, rank): the best of all that share a value.
+
+    Groups of at most ``SMALL`` are compared whole; larger ones branch on each later coordinate.  A pair that agrees
+    on the coordinates T is compared on the way to the group of T, or that group is large, and then its members
+    have ``near`` others there that agree on T.  So no neighbour with a higher agreement than those kept is missed.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    row, key, last = np.arange(len(u)), value.view(np.uint64), value & 7
+    while len(row):
+        o = np.lexsort((u[row], key))
+        row, key, last = row[o], key[o], last[o]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        for k in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+            groups = first[size == k]
+            for x in range(0, len(groups), max(1, 250_000 // (k * k))):
+                r = row[groups[x : x + max(1, 250_000 // (k * k)), None] + np.arange(k)]
+                rank = _ranks(s, u, r[:, :, None], r[:, None, :])
+                n = min(near, k - 1)
+                best = np.argpartition(-rank, n - 1, axis=2)[:, :, :n]
+                got = np.take_along_axis(rank, best, 2)
+                mine, other = np.repeat(u[r], n, axis=1).ravel(), u[np.take_along_axis(np.broadcast_to(r[:, None, :], rank.shape), best, 2)].ravel()
+                ok = got.ravel() >= 0
+                found.append((mine[ok], other[ok], got.ravel()[ok]))
+        big = np.repeat(size > SMALL, size)
+        row, key, last, group = row[big], key[big], last[big], np.repeat(first, size)[big]
+        for k in range(1, near + 1):
+            i = np.flatnonzero(group[k:] == group[:-k])
+            x, y = row[i], row[i + k]
+            rank = _ranks(s, u, x, y)
+            ok = rank >= 0
+            found += [(u[x][ok], u[y][ok], rank[ok]), (u[y][ok], u[x][ok], rank[ok])]
+        found = [_top(*(np.concatenate(c) for c in zip(*found, strict=True)), near)]
+        rows, keys, lasts = [], [], []
+        for k in range(1, 8):
+            on = np.flatnonzero(last < k)
+            rows.append(row[on])
+            keys.append(B.mix(key[on] * np.uint64(0x9E3779B97F4A7C15) + (s[row[on], k].astype(np.uint64) << np.uint64(3)) + np.uint64(k)))
+            lasts.append(np.full(len(on), k))
+        row, key, last = np.concatenate(rows), np.concatenate(keys), np.concatenate(lasts)
+    return found[0]
+
+
+def _nearest(near: int):
+    """Rows of whole values, in any order; the best of each uid among them.  A task holds its rows."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, 8)
+            u, v, rank = search(t.column("value").to_numpy(), t.column("uid").to_numpy(), s, near)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(rank.astype(np.int32)), pa.array(v)], names=["u", "rank", "v"])
+
+    return step
 
 
 def neighbours(sketches: DataFrame, width: int, near: int = NEAR) -> DataFrame:
-    """(u, [(score, v)]): the best neighbours of each document that has some.  At most 2 * REACH * COORDINATES are weighed."""
-    rows = sketches.select("uid", "sketch").mapInArrow(_coordinates, "value long, uid long, sketch binary")
-    rows = rows.repartitionByRange(width, "value", "sketch", "uid").sortWithinPartitions("value", "sketch", "uid")
-    edges = rows.mapInArrow(_adjacent, "u long, v long, score int").groupBy("u", "v").agg(F.max("score").alias("score"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("score", "v")), asc=False), 1, near)
-    return edges.groupBy("u").agg(best.alias("near"))
+    """(u, [(score, v)]): the neighbours of each document that has some, with the highest agreements there are."""
+    rows = sketches.select("uid", "sketch").mapInArrow(_coordinates, "value long, uid long, sketch binary").repartition(width, "value")
+    edges = rows.mapInArrow(_nearest(near), "u long, rank int, v long")
+    best = F.slice(F.sort_array(F.collect_set(F.struct("rank", "v")), asc=False), 1, near)
+    return edges.groupBy("u").agg(F.transform(best, lambda x: F.struct(F.shiftright(x.rank, 24).alias("score"), x.v.alias("v"))).alias("near"))
 
 
 def shards(size: DataFrame, graph: DataFrame, shard: int = SHARD) -> DataFrame:

@@ -170,6 +170,20 @@ def test_packing_shards(spark, monkeypatch):
     assert sum(r["count"] for r in got) == 60 and max(r["count"] for r in got) < 30
 
 
+def test_neighbours_equal_brute_force(spark):
+    """Few values, so that large groups branch: every document has neighbours of the highest agreements."""
+    r = np.random.default_rng(8)
+    s = r.integers(0, [3, 2, 5, 40, 40, 9, 200, 4], (1500, 8)).astype(np.uint32)
+    s[:120] = s[0]
+    df = spark.createDataFrame([(u, bytearray(x.tobytes())) for u, x in enumerate(s)], "uid long, sketch binary")
+    got = {x.u: x.near for x in packing.neighbours(df, 5).collect()}
+    for u in range(len(s)):
+        score = (s == s[u]).sum(1)
+        assert [n.score for n in got[u]] == [score[n.v] for n in got[u]] and len({n.v for n in got[u]} - {u}) == packing.NEAR
+        score[u] = 0
+        assert [n.score for n in got[u]] == sorted(score.tolist())[: -packing.NEAR - 1 : -1]
+
+
 def test_walk_follows_neighbours():
     assert packing.walk([[1], [2, 0], [1], []]) == [3, 0, 1, 2]
     assert packing.walk([]) == []
