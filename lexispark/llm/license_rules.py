@@ -4,8 +4,8 @@ Earlier lines have higher priority.  ``_`` in a pattern stands for a run of anyt
 """
 
 RULES = r"""
-agpl-3.0-only | affero | agpl_3_0_only
-agpl-3.0-or-later | affero | agpl_3_0_or_later
+agpl-3.0-only | agpl | agpl_3_0_only
+agpl-3.0-or-later | agpl | agpl_3_0_or_later
 agpl-3.0 | affero | gnu_affero_general_public_license_(?:v|version_)?3
 agpl-3.0-or-later | affero | (?:gnu_)?affero_general_public_license(?:[^.]{0,120})either_version_3(?:[^.]{0,80})any_later_version
 agpl-1.0 | affero | (?:gnu_)?affero_general_public_license_(?:v|version_)?1
@@ -249,7 +249,8 @@ watcom-1.0 | watcom | sybase_open_watcom_public_licen[sc]e
 xfree86-1.1 | xfree86 | xfree86_licen[sc]e
 zpl-2.1 | zope | zope_public_licen[sc]e_(?:v|version_)?2_1
 zpl | zope | zope_public_licen[sc]e
-openrail-m | openrail | (?:creativeml_)?open_?rail_?\+*_?m
+openrail-m | openrail | (?:creativeml_)?openrail_?\+*_?m
+openrail-m | open rail | (?:creativeml_)?open_rail_?\+*_?m
 bigscience-rail-1.0 | bigscience | bigscience_rail_licen[sc]e
 llama-community | llama | llama_\d?_?\d?_?community_licen[sc]e
 gemma-terms | gemma | gemma_terms_of_use
@@ -259,3 +260,16 @@ proprietary | proprietary | proprietary_and_confidential
 proprietary | unauthorized | unauthorized_copying_of_this_file
 copyright-notice | copyright | copyright_(?:c_)?(?:19|20)\d\d
 """
+
+#: SPDX identifiers beside the labels above.
+SPDX = """
+AFL-1.1 AFL-1.2 AFL-2.0 AGPL-1.0-only AGPL-1.0-or-later AML APL-1.0 APSL-1.0 APSL-1.1 APSL-1.2 Artistic-1.0-cl8 BitTorrent-1.0 BitTorrent-1.1 BSD-3-Clause-Modification
+BSD-3-Clause-No-Nuclear-License BSD-3-Clause-Open-MPI BSD-4-Clause-Shortened BSD-Protection BSD-Source-Code bzip2-1.0.6 CAL-1.0 CATOSL-1.1 CC-BY-1.0 CC-BY-NC-1.0 CC-BY-NC-2.0 CC-BY-NC-2.5
+CC-BY-NC-ND-1.0 CC-BY-NC-ND-2.0 CC-BY-NC-ND-2.5 CC-BY-NC-SA-1.0 CC-BY-NC-SA-2.0 CC-BY-NC-SA-2.5 CC-BY-ND-1.0 CC-BY-ND-2.0 CC-BY-ND-2.5 CC-BY-SA-1.0 CC-BY-SA-2.0 CC-PDDC CECILL-1.0
+CECILL-1.1 CECILL-2.0 CERN-OHL-1.1 CERN-OHL-1.2 CERN-OHL-P-2.0 CERN-OHL-S-2.0 CERN-OHL-W-2.0 CNRI-Python CUA-OPL-1.0 D-FSL-1.0 ECL-1.0 EFL-1.0 EUDatagrid Entessa FSFAP FSFUL FSFULLR Frameworx-1.0
+GFDL-1.1-only GFDL-1.1-or-later GFDL-1.2-only GFDL-1.2-or-later GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later HPND-sell-variant Hippocratic-2.1 ImageMagick IJG Info-ZIP IPA JasPer-2.0
+LAL-1.2 LAL-1.3 LGPL-2.0-only LGPL-2.1-only LGPL-3.0-only LGPLLR LiLiQ-P-1.1 LiLiQ-R-1.1 LiLiQ-Rplus-1.1 Linux-OpenIB Linux-man-pages-copyleft LPL-1.0 LPL-1.02 LPPL-1.0 LPPL-1.1 LPPL-1.2 LPPL-1.3a
+MIT-CMU MIT-Modern-Variant MIT-enna MITNFA MirOS Motosoto MulanPSL-1.0 Multics NAIST-2003 NBPL-1.0 NGPL NIST-PD NLPL Nokia NPL-1.0 NPOSL-3.0 NTP OCLC-2.0 OFL-1.0-RFN OFL-1.1-RFN
+OGTSL OLDAP-2.7 OLDAP-2.8 OSET-PL-2.1 OSL-1.0 OSL-1.1 OSL-2.0 PostgreSQL PSF-2.0 Python-2.0.1 RPL-1.1 RPSL-1.0 RSCPL SAX-PD SGI-B-1.0 SGI-B-1.1 SGI-B-2.0 SimPL-2.0 SMLNJ SSH-OpenSSH
+TCP-wrappers TMate TORQUE-1.1 UCL-1.0 Unicode-TOU VSL-1.0 W3C-19980720 X11 Xnet XSkat ZPL-1.1 ZPL-2.0 zlib-acknowledgement
+"""

@@ -2,7 +2,8 @@
 
 Rules (``license_rules.RULES``) are tried in order on the words of a text, and only those whose keyword the text
 contains.  A detection that lies within one of higher priority (an earlier rule) or within a longer one of the
-same label is suppressed.  Places of three base phrases are counted on the words and always kept.
+same label is suppressed.  Listed identifiers of SPDX tags come before all rules, with the licence's own label, at
+priority -1; of another identifier only ``spdx`` is known.  A ``+`` is no word, so ``GPL-2.0+`` is gpl-2.0.  Places of three base phrases are counted on the words and always kept.
 
 Defined cases: a null text has no words, no places, empty labels and score 0.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .license_rules import RULES
+from .license_rules import RULES, SPDX
 
 _WORD = np.ones(256, bool)
 _WORD[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
@@ -50,9 +51,35 @@ def _prefilter() -> ahocorasick.Automaton:
     return found
 
 
+_TAG = "spdx license identifier "
+_NEXT = re.compile(r"(?: with (?:[a-z0-9]+ ){0,6}?exception(?: [0-9]+)*)? (?:or|and) ")
+
+
+@lru_cache(1)
+def _identifiers() -> tuple[dict[str, str], re.Pattern]:
+    """Labels by the words of SPDX identifiers, and a pattern for the longest of these."""
+    none = {"spdx", "all-rights-reserved", "proprietary", "copyright-notice"}
+    every = {re.sub("[^a-z0-9]+", " ", x): x for x in [*SPDX.lower().split(), *(label for label, _, _ in rules())] if x not in none}
+    return every, re.compile("(?:" + "|".join(sorted(every, key=len, reverse=True)) + ")(?![a-z0-9])")
+
+
+def spdx(words: str) -> list[tuple[int, int, str, int]]:
+    """Detections of the licences that SPDX tags name."""
+    out, at = [], words.find(_TAG)
+    while at >= 0:
+        labels, pattern = _identifiers()
+        end = at + len(_TAG)
+        while m := pattern.match(words, end):
+            out.append((*m.span(), labels[m[0]], -1))
+            more = _NEXT.match(words, m.end())
+            end = more.end() if more else len(words)
+        at = words.find(_TAG, at + 1)
+    return out
+
+
 def detect(words: str) -> list[tuple[int, int, str, int]]:
     """Detections (first, end, label, rule) in words joined by single spaces, after suppression."""
-    every, found = rules(), []
+    every, found = rules(), spdx(words)
     for k in sorted({k for _, ks in _prefilter().iter(words) for k in ks}):
         label, _, pattern = every[k]
         for m in pattern.finditer(words):

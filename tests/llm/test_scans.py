@@ -1,6 +1,7 @@
 """Exact dedup, media, secret and license operators against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -104,3 +105,45 @@ def test_license_rules():
     assert found("gnu lesser general public license v2 1") == {"lgpl-2.1"}
     assert found("spdx license identifier bsd 3 clause") >= {"bsd-3-clause"}
     assert found("nothing here") == set()
+
+
+def _sample(parsed, r):
+    """A random string that a parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "BRANCH":
+            out += _sample(r.choice(arg[1]), r)
+        elif op == "SUBPATTERN":
+            out += _sample(arg[-1], r)
+        elif op == "MAX_REPEAT":
+            out += "".join(_sample(arg[2], r) for _ in range(r.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
+        elif op == "IN":
+            kind, what = arg[0]
+            out += chr(what) if str(kind) == "LITERAL" else chr(what[0]) if str(kind) == "RANGE" else "1" if "DIGIT" in str(what) else "x"
+        elif op == "ANY":
+            out += "x"
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_license_gates_are_in_every_match():
+    r = random.Random(1)
+    for label, key, pattern in licenses.rules():
+        for _ in range(50):
+            s = _sample(re._parser.parse(pattern.pattern), r)
+            assert pattern.fullmatch(s) and key in s, (label, key, s)
+            assert any(a == 0 or e == len(s) for a, e, _, _ in licenses.detect(s)), s
+
+
+def test_license_spdx():
+    found = lambda s: {x[2] for x in licenses.detect(" ".join(re.findall("[a-z0-9]+", s.lower())))}
+    for i in "MIT ISC Zlib AGPL-3.0-only AGPL-3.0-or-later GPL-2.0-only GPL-3.0-or-later LGPL-2.1-only BSD-3-Clause-Clear Apache-2.0 0BSD".split():
+        assert found(f"SPDX-License-Identifier: {i}\nint main") == {"spdx", i.lower()}, i
+    assert found("AGPL-3.0-only") == {"agpl-3.0-only"} and found("CreativeML Open RAIL-M") == {"openrail-m"}
+    assert found("SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC") == {"spdx", "mit", "apache-2.0", "isc"}
+    assert found("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note-exception OR MIT") == {"spdx", "gpl-2.0-only", "mit"}
+    assert found("SPDX-License-Identifier: NoSuch-1.0") == {"spdx"}
