@@ -52,7 +52,7 @@ def test_anti_joins_on_nulls(spark):
 
 
 def test_every_line_is_a_sense(spark, con):
-    """Against brute force: the SQL of shred_senses stops at line 50."""
+    """Against brute force, beyond line 50 of a text."""
     from lexispark.plans.queries import _legal
 
     want = sorted((d, k, line) for d, t in con.sql("select doc_id, text from documents").fetchall() for k, line in enumerate(_legal(t or "").split("\n")))
