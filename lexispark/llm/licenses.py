@@ -1,11 +1,14 @@
 """License scans by ordered signature rules.
 
 Rules (``license_rules.RULES``) are tried in order on the words of a text, and only those whose keyword the text
-contains.  A detection that lies within one of higher priority (an earlier rule) or within a longer one of the
-same label is suppressed.  Listed identifiers of SPDX tags come before all rules, with the licence's own label, at
+contains.  A match begins and ends with whole words.  A detection that lies within one of higher priority (an earlier
+rule) or within a longer one of the same label is suppressed; both by sweeps over sorted ends, so that a text with
+many detections takes n log n steps.  Listed identifiers of SPDX tags come before all rules, with the licence's own label, at
 priority -1; of another identifier only ``spdx`` is known.  A ``+`` is no word, so ``GPL-2.0+`` is gpl-2.0.  Places of three base phrases are counted on the words and always kept.
 
-Defined cases: a null text has no words, no places, empty labels and score 0.
+Defined cases: a null or empty text has no words, no places, empty labels and score 0; a very long text is scanned
+whole; a null id is carried; repeated rows and ties each get their row; an empty table gives no rows; other columns of
+the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def rules() -> list[tuple[str, str, re.Pattern]]:
     out = []
     for line in RULES.strip().splitlines():
         label, key, pattern = (x.strip() for x in line.split(" | "))
-        out.append((label, key.replace("_", " "), re.compile("(?<![a-z0-9])(?:" + pattern.replace("_?", " ?").replace("_", " ").replace("[^.]", ".") + ")(?![a-z0-9])")))
+        out.append((label, key.replace("_", " "), re.compile("(?<![^ ])(?:" + pattern.replace("_?", " ?").replace("_", " ").replace("[^.]", ".") + ")(?![^ ])")))
     return out
 
 
@@ -60,7 +63,7 @@ def _identifiers() -> tuple[dict[str, str], re.Pattern]:
     """Labels by the words of SPDX identifiers, and a pattern for the longest of these."""
     none = {"spdx", "all-rights-reserved", "proprietary", "copyright-notice"}
     every = {re.sub("[^a-z0-9]+", " ", x): x for x in [*SPDX.lower().split(), *(label for label, _, _ in rules())] if x not in none}
-    return every, re.compile("(?:" + "|".join(sorted(every, key=len, reverse=True)) + ")(?![a-z0-9])")
+    return every, re.compile("(?:" + "|".join(sorted(every, key=len, reverse=True)) + ")(?![^ ])")
 
 
 def spdx(words: str) -> list[tuple[int, int, str, int]]:
@@ -77,16 +80,56 @@ def spdx(words: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
+class _Cover:
+    """Intervals; asks whether one of them contains another.  Keeps those with the largest end up to each start."""
+
+    def __init__(self):
+        self.first, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def holds(self, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.first, a, "right") - 1
+        return (k >= 0) & (self.end[np.maximum(k, 0)] >= e) if len(self.first) else np.zeros(len(a), bool)
+
+    def add(self, a: np.ndarray, e: np.ndarray) -> None:
+        a, e = np.concatenate([self.first, a]), np.concatenate([self.end, e])
+        o = np.lexsort((-e, a))
+        a, e = a[o], e[o]
+        top = np.concatenate([[-1], np.maximum.accumulate(e)[:-1]])
+        self.first, self.end = a[e > top], e[e > top]
+
+
 def detect(words: str) -> list[tuple[int, int, str, int]]:
     """Detections (first, end, label, rule) in words joined by single spaces, after suppression."""
-    every, found = rules(), spdx(words)
-    for k in sorted({k for _, ks in _prefilter().iter(words) for k in ks}):
+    every, found = rules(), list(dict.fromkeys(spdx(words)))
+    keys = sorted({k for _, ks in _prefilter().iter(words) for k in ks})
+    if not keys and not found:
+        return []
+    cover = _Cover()
+    if found:
+        cover.add(np.array([f[0] for f in found]), np.array([f[1] for f in found]))
+    for k in keys:
         label, _, pattern = every[k]
-        for m in pattern.finditer(words):
-            a, e = m.span()
-            if not any(x <= a and e <= y for x, y, _, _ in found):
-                found.append((a, e, label, k))
-    return sorted(f for f in found if not any(o is not f and o[2] == f[2] and o[0] <= f[0] and f[1] <= o[1] and (o[1] - o[0] > f[1] - f[0]) for o in found))
+        at = np.array([m.span() for m in pattern.finditer(words)], np.int64).reshape(-1, 2)
+        new = at[~cover.holds(at[:, 0], at[:, 1])] if len(at) else at
+        if len(new):
+            cover.add(new[:, 0], new[:, 1])
+            found += [(a, e, label, k) for a, e in new.tolist()]
+    return sorted(f for f, longer in zip(found, _within_longer(found), strict=True) if not longer)
+
+
+def _within_longer(found: list[tuple[int, int, str, int]]) -> list[bool]:
+    """Of each detection, whether a longer one of its label contains it."""
+    out, label, top, last = [False] * len(found), None, -1, None
+    for i in sorted(range(len(found)), key=lambda i: (found[i][2], found[i][0], -found[i][1])):
+        a, e, tag, _ = found[i]
+        if tag != label:
+            label, top, last = tag, -1, None
+        if (a, e) == last:  # the same span again: as long, not longer
+            out[i] = held
+            continue
+        held = out[i] = top >= e
+        top, last = max(top, e), (a, e)
+    return out
 
 
 SPANS = "doc_id long, label string, priority int, first_word long, last_word long, match string"
@@ -120,9 +163,10 @@ def base_places(words: bytes) -> list[tuple[int, str]]:
     padded, out = b" " + words + b" ", []
     for phrase, label in PHRASES:
         want = b" " + phrase + b" "
-        at = padded.find(want)
+        at, n, done = padded.find(want), 0, 0
         while at >= 0:
-            out.append((padded.count(b" ", 0, at), label))
+            n, done = n + padded.count(b" ", done, at), at
+            out.append((n, label))
             at = padded.find(want, at + 1)
     return sorted(out)
 
@@ -145,7 +189,8 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, _, raw in _joined(b):
             words = raw.decode("utf-8", "replace")
-            out += [(i, label, k, words.count(" ", 0, a), words.count(" ", 0, e), words[a:e]) for a, e, label, k in detect(words)]
+            gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) if len(words) == len(raw) else np.array([j for j, c in enumerate(words) if c == " "])
+            out += [(i, label, k, int(np.searchsorted(gaps, a)), int(np.searchsorted(gaps, e)), words[a:e]) for a, e, label, k in detect(words)]
         yield B.rows(_SPANS, out)
 
 
