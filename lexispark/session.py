@@ -11,8 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-#: Rows and bytes of an Arrow batch, where the application has not set its own: texts are long.
-_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Rows and bytes of an Arrow batch and rows of a scan's batch, where the application has not set its own: texts are long.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+#: Of tables that live between two plans: what a task buffers before it writes is bounded by the row group.
+WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 
 
 def session(app: str = "lexispark", **conf: str) -> SparkSession:
@@ -28,7 +30,7 @@ def session(app: str = "lexispark", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's source to the executors once for each application."""
+    """Send this package's source to the executors once for each application, and set its batch sizes in the session."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         for k, v in _BATCH.items():
@@ -58,5 +60,5 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Cut lineage with a table in the shared folder, which outlives any executor."""
     path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    df.write.options(**WRITE).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
