@@ -7,7 +7,9 @@ scans a split again reads one file.  So whole texts stay where they are read and
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, stored
+from ..session import WRITE, shared_dir, stored
 
 __all__ = ["shared_dir", "stored"]
 U64 = np.uint64
@@ -40,9 +42,79 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def owners(spark: SparkSession) -> int:
-    """Owners of a key range; the session's shuffle width, which is set to the size of the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def freed(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more: their results are stored, so no later read needs them.
+
+    Spark's cleaner removes them once the driver's collectors have met the dead plans.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Scratch:
+    """Tables in the shared folder that one operator makes on its way; ``drop`` removes them once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self.spark, name)
+        df.write.options(**WRITE).parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def deliver(self, replies: DataFrame, n: int, name: str) -> str:
+        self.paths.append(deliver(replies, n, name))
+        return self.paths[-1]
+
+    def drop(self) -> None:
+        for p in self.paths:
+            remove(self.spark, p)
+        self.paths = []
+
+
+SHARE, MOST = 16 << 20, 1 << 17  # bytes of input that an owner answers for; most owners
+
+
+def owners(df: DataFrame) -> int:
+    """Owners of a key range: one for each ``SHARE`` bytes that the plan reads, the session's shuffle width at least.
+
+    Beyond ``MOST`` owners each has more to do; where the plan's size is not known the session's width holds.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    share = size // SHARE if size < 1 << 60 else 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST, share))
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` as a task's step that gives freed memory back to the system when it ends: workers live on between stages."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _trim()
+
+    return step
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
 
 
 def at_owners(asked: DataFrame, m: int, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -52,6 +124,8 @@ def at_owners(asked: DataFrame, m: int, f: Callable[[pa.Table], pa.Table], schem
         held = [b for b in batches if b.num_rows]
         if held:
             yield from f(pa.Table.from_batches(held)).to_batches()
+        held.clear()
+        _trim()
 
     return asked.repartitionById(m, "owner").mapInArrow(step, schema)
 
@@ -71,14 +145,19 @@ def block_source(df: DataFrame) -> DataFrame:
 
 
 def with_blocks(df: DataFrame, *columns) -> tuple[DataFrame, int]:
-    """``columns`` and, as the last two, the split and its reply file; the number of reply files."""
+    """``columns`` and, as the last two, the split and its reply file; the number of reply files.
+
+    Sets ``spark.sql.files.minPartitionNum`` of the session where it is unset, so that every scan cuts the same splits.
+    """
     spark = df.sparkSession
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         # else splits follow the number of executors, and a loss between two scans would move the blocks
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     n = max(1, df.rdd.getNumPartitions())
     blk = F.concat_ws("#", F.input_file_name(), F.input_file_block_start().cast("string"))
-    return df.select(*columns, blk.alias("__blk"), F.pmod(F.xxhash64(blk), F.lit(n)).cast("int").alias("__grp")), n
+    out = df.select(*columns)
+    a, b = unused(out, "__blk", "__grp")
+    return df.select(*columns, blk.alias(a), F.pmod(F.xxhash64(blk), F.lit(n)).cast("int").alias(b)), n
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
@@ -97,7 +176,7 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.R
 def deliver(replies: DataFrame, n: int, name: str) -> str:
     """Write rows with ``grp`` to the shared folder, one folder and file for each reply group."""
     path = shared_dir(replies.sparkSession, name)
-    replies.repartitionById(n, "grp").write.option("compression", "zstd").partitionBy("grp").parquet(path)
+    replies.repartitionById(n, "grp").write.options(**WRITE).partitionBy("grp").parquet(path)
     return path
 
 
@@ -333,7 +412,24 @@ def keep_rows(df: DataFrame, path: str) -> DataFrame:
             b = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))], names=names)
 
-    return src.mapInArrow(step, schema)
+    return src.mapInArrow(tidy(step), schema)
+
+
+def placed(src: DataFrame, columns: str) -> DataFrame:
+    """The columns of ``with_blocks`` with each row's place: (*columns, grp, blk, row)."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, 0
+        for blk, grp, b in by_block(batches):
+            if blk != now:
+                now, at = blk, 0
+            n = b.num_rows
+            own = [b.column(i) for i in range(b.num_columns - 2)]
+            names = [b.schema.names[i] for i in range(len(own))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(n, grp, np.int32)), pa.array([blk] * n), pa.array(np.arange(at, at + n))], names=[*names, "grp", "blk", "row"])
+            at += n
+
+    return src.mapInArrow(step, f"{columns}, grp int, blk string, row long")
 
 
 def sub_blocks(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[tuple[str, int, int, int, pa.RecordBatch]]:

@@ -34,7 +34,7 @@ def _digests(b: pa.RecordBatch) -> tuple[list[bytes], list[bytes], np.ndarray]:
     """Normalised texts, their SHA-256, and the first 64 bits of that as fingerprints."""
     data, off = B.text_bytes(b.column("text"))
     texts: list[bytes] = []
-    for _, _, d, o in B.chunks(data, off, 4 << 20):
+    for _, _, d, o in B.chunks(data, off, 1 << 20):
         q, at = B.squeeze(d, o)
         raw, at = q.tobytes(), at.tolist()
         texts += [raw[i:j] for i, j in zip(at, at[1:])]
@@ -119,14 +119,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     src, n = B.with_blocks(B.block_source(docs), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    m = B.owners(spark)
-    asked = src.mapInArrow(_request(m), REQ)
+    m = B.owners(docs)
+    asked = src.mapInArrow(B.tidy(_request(m)), REQ)
     path = B.deliver(asked.groupBy("owner").applyInArrow(_answer, REP), n, "bitmaps")
-    local = B.stored(src.mapInArrow(_local(m, path), ROW), "digests")
+    local = B.stored(src.mapInArrow(B.tidy(_local(m, path)), ROW), "digests")
     B.remove(spark, path)
     heads = local.where("key is not null and head").select("text_sha256", "body", "doc_id", "key", "n")
     heads = heads.repartition(m, "text_sha256").sortWithinPartitions("text_sha256", "body", F.col("doc_id").asc_nulls_last(), "key")
-    settled = heads.mapInArrow(_settle, RES)
+    settled = heads.mapInArrow(B.tidy(_settle), RES)
     place = ["doc_id", "text_sha256", "grp", "blk", "row"]
     alone = local.where("key is null").select(*place, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     shared = local.where("key is not null").select(*place, "key", "head").join(settled, "key").select(*place, "keep_id", "group_size", (F.col("head") & F.col("wins")).alias("kept"))

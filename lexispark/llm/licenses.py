@@ -196,13 +196,13 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per detection, in words."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_span_rows, SPANS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(B.tidy(_span_rows), SPANS)
 
 
 def op10_license_scan(spark, sf_dir):
     """Base places and labels of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", "text").mapInArrow(_digest, DIGEST)
+    return docs.select("doc_id", "text").mapInArrow(B.tidy(_digest), DIGEST)
 
 
 QUERIES = {"op10_license_scan": op10_license_scan}

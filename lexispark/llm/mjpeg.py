@@ -273,18 +273,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and an AVI file for each document."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode, MEDIA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(B.tidy(_encode), MEDIA)
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
     """Timed clips of a table with doc_id and avi."""
-    return media.select("doc_id", "avi").mapInArrow(_clips, CLIPS)
+    return media.select("doc_id", "avi").mapInArrow(B.tidy(_clips), CLIPS)
 
 
 def op6_avi_mjpeg(spark, sf_dir):
     """Every text stored in motion-JPEG, read back and described."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", "text").mapInArrow(_digest, DIGEST)
+    return docs.select("doc_id", "text").mapInArrow(B.tidy(_digest), DIGEST)
 
 
 QUERIES = {"op6_avi_mjpeg": op6_avi_mjpeg}

@@ -5,13 +5,15 @@ node, the one or two coordinates of its minwise signature that the node's hash s
 threshold is expected to share more than one child of each node that it shares.  Nodes of at most ``limit``
 classes are compared exhaustively within one task, on 64-byte sketches; larger nodes branch on, and what is large
 at the last level is compared in square tiles.  Only pairs whose sketches agree on 40 % are proposed, and only
-between classes that earlier links have not joined; all proposed pairs are confirmed on full shingle sets.
+between classes that earlier links have not joined; all proposed pairs are confirmed on full shingle sets.  Then
+the links of each class are counted over all pairs of its component, on full sets.
 
 A pair of similarity 0.7 meets in no node of the first level with probability 0.3**24 (trees * 1.5 branches), of the
 third with about 1e-6; its sketches fall below 40 % with about 1e-7.
 
 Defined cases: null text, or no words: empty set, linked with nothing, own component, kept.  A null id sorts after
-every id.  Of rows that repeat an id in one component, one stays.  An empty table gives no rows.
+every id.  Of rows that repeat an id in one component, one stays.  A very long text is taken whole.  An empty table
+gives no rows.  Other columns of the table, whatever their names, are kept by ``near_dedup`` and not read.
 """
 
 from __future__ import annotations
@@ -264,49 +266,137 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirmed(pairs: DataFrame, reps: DataFrame, src: DataFrame, n: int) -> DataFrame:
     """The stored pairs whose full sets are linked.  Sets are made anew from the texts that are asked for."""
+    made = B.Scratch(pairs.sparkSession)
     asked = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(reps.select("uid", "grp", "blk", "row"), "uid")
-    path = B.deliver(asked, n, "asked")
-    sets = B.stored(src.mapInArrow(_full_sets(path), "uid long, hashes binary"), "sets")
+    path = made.deliver(asked, n, "asked")
+    sets = made.stored(src.mapInArrow(B.tidy(_full_sets(path)), "uid long, hashes binary"), "sets")
     j = pairs.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("hb")), "b")
-    return B.stored(j.select("a", "b", "ha", "hb").mapInArrow(_confirm, "a long, b long"), "links")
+    out = B.stored(j.select("a", "b", "ha", "hb").mapInArrow(B.tidy(_confirm), "a long, b long"), "links")
+    made.drop()
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(uid, root) of every linked node; alternating large and small stars, each round a stored table."""
+    """(uid, root) of every linked node but the roots; alternating large and small stars, each round a stored table."""
     e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    last = None
+    last, before = None, B.Scratch(links.sparkSession)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        e = B.stored(small.distinct(), "stars")
+        now = B.Scratch(links.sparkSession)
+        e = now.stored(small.distinct(), "stars")
+        before.drop()
+        before = now
         state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == last:
             return e.select(F.col("u").alias("uid"), F.col("v").alias("root"))
         last = state
 
 
+# --- degrees
+
+TILE_HASHES, TILE_CLASSES = 200_000, 1024
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many hashes the sets at ``left`` and those at ``right`` share: products of presences, some shared hashes at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    on = count[col] > 1
+    row, col = row[on], shared[col[on]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    many = int(col[-1]) + 1 if len(col) else 0
+    out, width = np.zeros((len(left), len(right)), np.float32), min(many, max(64, (1 << 21) // max(1, len(sets))))
+    for c in range(0, many, max(1, width)):
+        i, j = np.searchsorted(col, [c, c + width])
+        x = np.zeros((len(sets), width), np.float32)
+        x[row[i:j], col[i:j] - c] = 1
+        out += x[left] @ x[right].T
+    return out.astype(np.int64)
+
+
+def _tile_degrees(t: pa.Table) -> pa.RecordBatch:
+    """Links of each class within one tile: a square of two sides, or the pairs of one."""
+    uid, side, x, y = (t.column(c).to_numpy() for c in ("uid", "side", "x", "y"))
+    sets = [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()]
+    n = np.array([len(s) for s in sets])
+    l, r = np.flatnonzero(side == x[0]), np.flatnonzero(side == y[0])
+    both = intersections(sets, l, r)
+    linked = 100 * both >= 70 * (n[l][:, None] + n[r][None, :] - both)
+    if x[0] == y[0]:
+        np.fill_diagonal(linked, False)
+        who, many = uid[l], linked.sum(1)
+    else:
+        who, many = np.concatenate([uid[l], uid[r]]), np.concatenate([linked.sum(1), linked.sum(0)])
+    return pa.RecordBatch.from_arrays([pa.array(who), pa.array(many.astype(np.int64))], names=["uid", "n_links"])
+
+
+def _degrees_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by root and tile; holds one tile."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("root", "x", "y")], 1)
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cut, cut[1:]):
+            k = tuple(key[i])
+            if held and k != now:
+                yield _tile_degrees(pa.Table.from_batches(held))
+                held = []
+            now = k
+            held.append(b.slice(i, j - i))
+    if held:
+        yield _tile_degrees(pa.Table.from_batches(held))
+
+
+def degrees(comp: DataFrame, reps: DataFrame, src: DataFrame, n: int, width: int) -> DataFrame:
+    """(uid, n_links) of the classes of every component: all its pairs are compared on full sets, and counts alone leave a task.
+
+    A component beyond ``TILE_HASHES`` hashes or ``TILE_CLASSES`` classes is cut into sides, and each pair of sides is a tile.
+    """
+    made = B.Scratch(comp.sparkSession)
+    members = comp.union(comp.select("root", "root")).distinct().join(reps.select("uid", "grp", "blk", "row", "n"), "uid")
+    sides = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / TILE_HASHES), F.ceil(F.count("*") / TILE_CLASSES)).cast("int").alias("sides"))
+    path = made.deliver(members.select("uid", "grp", "blk", "row"), n, "members")
+    sets = made.stored(src.mapInArrow(B.tidy(_full_sets(path)), "uid long, hashes binary"), "member-sets")
+    placed = members.select("uid", "root").join(sides, "root").withColumn("side", F.pmod(F.xxhash64("uid"), "sides").cast("int"))
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    tiles = tiles.select("uid", "root", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")).join(sets, "uid")
+    tiles = tiles.repartition(width, "root", "x", "y").sortWithinPartitions("root", "x", "y")
+    out = B.stored(tiles.mapInArrow(B.tidy(_degrees_of), "uid long, n_links long").groupBy("uid").agg(F.sum("n_links").alias("n_links")), "degrees")
+    made.drop()
+    return out
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id, class_size, n_links, and its place (grp, blk, row).
 
-    ``docs`` must be a block source (see ``blocks.block_source``) if the place is to be used.
+    A class is the documents with one shingle set; ``class_size`` counts them, ``n_links`` the other classes that are linked
+    with it.  ``docs`` must be a block source (see ``blocks.block_source``) if the place is to be used.
     """
     spark = docs.sparkSession
-    width = B.owners(spark)
+    width, made = B.owners(docs), B.Scratch(spark)
     src, files = B.with_blocks(B.block_source(docs), F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    feats = B.stored(src.mapInArrow(_features, FEAT), "features")
+    feats = B.stored(src.mapInArrow(B.tidy(_features), FEAT), "features")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "uid", "grp", "blk", "row", "n", "sig"))
     reps = feats.where("n > 0").groupBy("digest").agg(first.alias("f"), F.count("*").alias("class_size")).select("digest", "class_size", "f.*")
-    reps = B.stored(reps, "classes")
+    reps = made.stored(reps, "classes")
+    B.freed(spark)
     sizes = reps.select("uid", "n", "sig")
 
-    rows = sizes.mapInArrow(_first_level(trees), "path long, uid long, tree int")
-    nodes = _nodes(rows, width, "level1")
+    rows = sizes.mapInArrow(B.tidy(_first_level(trees)), "path long, uid long, tree int")
+    nodes = _nodes(rows, width, made, "level1")
+    B.freed(spark)
     lead = nodes.where("tree < 4").groupBy("path").agg(F.min("uid").alias("a"))
     stars = nodes.where("tree < 4").join(lead, "path").where("a < uid").select("a", F.col("uid").alias("b")).distinct()
-    tried = B.stored(_agreeing(stars, sizes, int(0.6 * M)), "stars1")
+    tried = made.stored(_agreeing(stars, sizes, int(0.6 * M)), "stars1")
     links = confirmed(tried, reps, src, files)
     comp = components(links)
 
@@ -314,28 +404,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for level in range(1, LEVELS + 1):
         info = nodes.join(comp, "uid", "left").select("path", "uid", F.coalesce("root", "uid").alias("comp"))
         mixed = info.groupBy("path").agg(F.count("*").alias("size"), F.min("comp").alias("ref"), F.max("comp").alias("top")).where("ref < top").drop("top")
-        info = B.stored(info.join(mixed, "path"), "mixed")
+        info = made.stored(info.join(mixed, "path"), "mixed")
         small = info.where(F.col("size") <= LIMIT).join(_sketches(sizes), "uid")
         small = small.repartition(width, "path").sortWithinPartitions("path")
-        found.append(small.mapInArrow(_small_nodes, "a long, b long"))
+        found.append(made.stored(small.mapInArrow(B.tidy(_small_nodes), "a long, b long"), "found"))
         large = info.where(F.col("size") > LIMIT)
         if large.isEmpty():
             break
         if level == LEVELS:
             found.append(_large_nodes(large.join(_sketches(sizes), "uid")))
         else:
-            nodes = _nodes(large.select("path", "uid").join(sizes, "uid").mapInArrow(_next_level, "path long, uid long, tree int"), width, f"level{level + 1}")
+            nodes = _nodes(large.select("path", "uid").join(sizes, "uid").mapInArrow(B.tidy(_next_level), "path long, uid long, tree int"), width, made, f"level{level + 1}")
     more = found[0]
     for f in found[1:]:
         more = more.union(f)
-    more = B.stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "proposed")
-    links = links.union(confirmed(more, reps, src, files))
-    comp = components(links)
+    more = made.stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "proposed")
+    B.freed(spark)
+    comp = components(links.union(confirmed(more, reps, src, files)))
+    degree = degrees(comp, reps, src, files, width)
 
-    degree = links.select(F.col("a").alias("uid")).union(links.select("b")).groupBy("uid").agg(F.count("*").alias("n_links"))
     joined = reps.select("digest", "uid", "id", "class_size").join(comp, "uid", "left").join(degree, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     win = joined.where("n_links is not null").groupBy("root").agg(F.min(F.struct("id", "uid")).alias("w"))
     joined = joined.join(win, "root", "left").select("digest", "class_size", F.coalesce("w.id", "id").alias("component"), F.coalesce("w.uid", "uid").alias("winner"), F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    joined = B.stored(joined, "joined")
+    made.drop()
     known = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     place = ["doc_id", F.col("n").alias("n_shingles"), "grp", "blk", "row"]
     full = feats.where("n > 0").drop("sig").join(joined, "digest").select(*place, known("component").alias("component_id"), (F.col("uid") == F.col("winner")).alias("kept"), known("class_id").alias("class_id"), "class_size", "n_links")
@@ -343,10 +435,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return full.unionByName(bare)
 
 
-def _nodes(rows: DataFrame, width: int, name: str) -> DataFrame:
+def _nodes(rows: DataFrame, width: int, made: B.Scratch, name: str) -> DataFrame:
     """Rows of nodes that hold more than one class, stored; a class comes once in a node."""
     rows = rows.repartition(width, "path").sortWithinPartitions("path", "uid")
-    return B.stored(rows.mapInArrow(_shared, "path long, uid long, tree int"), name)
+    return made.stored(rows.mapInArrow(B.tidy(_shared), "path long, uid long, tree int"), name)
 
 
 def _sketches(sizes: DataFrame) -> DataFrame:
@@ -379,32 +471,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 SQL = r"""
 with w as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+'), lambda x: x <> '') as w
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
 s as (
   select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
     else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as sh
   from w),
-n as (select doc_id, count(*) as n from s group by doc_id),
+n as (select doc_id, count(*) as n, md5(string_agg(sh, chr(31) order by sh)) as k from s group by doc_id),
 rare as (select sh from s group by sh having count(*) > 1),
 i as (
   select a.doc_id as a, b.doc_id as b, count(*) as c from s a join rare using (sh) join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
 l as (
   select a, b from i join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 70 * (x.n + y.n - c)),
 e as (select a, b from l union all select b, a from l),
+g as (select e.a, count(distinct y.k) as n_links from e join n x on e.a = x.doc_id join n y on e.b = y.doc_id and x.k <> y.k group by 1),
 r as (
   with recursive t(d, m) as (select doc_id, doc_id from n union select t.d, e.b from t join e on t.m = e.a)
-  select d, min(m) as m from t group by d)
-select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(r.m, d.doc_id) as component_id, coalesce(r.m, d.doc_id) = d.doc_id as kept
-from documents d left join n on d.doc_id = n.doc_id left join r on d.doc_id = r.d
+  select d, min(m) as m from t group by d),
+c as (select doc_id, min(doc_id) over (partition by k) as class_id, count(*) over (partition by k) as class_size from n)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(r.m, d.doc_id) as component_id, coalesce(r.m, d.doc_id) = d.doc_id as kept,
+  coalesce(c.class_id, d.doc_id) as class_id, coalesce(c.class_size, 1) as class_size, coalesce(g.n_links, 0) as n_links
+from documents d left join n on d.doc_id = n.doc_id left join r on d.doc_id = r.d left join c on d.doc_id = c.doc_id left join g on d.doc_id = g.a
 """
 
 
 def op7_near_dedup(spark, sf_dir):
-    """Every document with its component of linked documents."""
+    """Every document with its component of linked documents, its class of equal sets, and the links of that class."""
     found = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_shingles", "component_id", "kept")
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "class_size", "n_links")
 
 
 QUERIES = {"op7_near_dedup": op7_near_dedup}

@@ -356,13 +356,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per span, with its text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_span_rows, SPANS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(B.tidy(_span_rows), SPANS)
 
 
 def op9_secret_scan(spark, sf_dir):
     """Counts, spans and a digest of the fixed patterns' spans for each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", "text").mapInArrow(_digest, DIGEST)
+    return docs.select("doc_id", "text").mapInArrow(B.tidy(_digest), DIGEST)
 
 
 QUERIES = {"op9_secret_scan": op9_secret_scan}

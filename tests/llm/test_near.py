@@ -22,23 +22,28 @@ def brute(rows):
             i = root[i]
         return i
 
+    near = [set() for _ in rows]
     for i in range(len(rows)):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+                if sets[i] != sets[j]:
+                    near[i].add(frozenset(sets[j]))
+                    near[j].add(frozenset(sets[i]))
     comp = {}
     for i, (d, _) in enumerate(rows):
         comp.setdefault(find(i), []).append(d)
     low = {k: min((d for d in v if d is not None), default=None) for k, v in comp.items()}
-    return sorted((str(d), len(sets[i]), str(low[find(i)])) for i, (d, _) in enumerate(rows)), len(comp)
+    size = [sum(t == s for t in sets) if s else 1 for s in sets]
+    return sorted((str(d), len(sets[i]), str(low[find(i)]), size[i], len(near[i])) for i, (d, _) in enumerate(rows)), len(comp)
 
 
 def check(spark, rows):
     df = documents(spark, [(i, t, "en", "s", 0, 0) for i, t in rows])
     got = N.near_groups(df).collect()
     want, groups = brute(rows)
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.class_size, r.n_links) for r in got) == want
     assert sum(r.kept for r in got) == groups
     return df, groups
 
@@ -56,6 +61,7 @@ def test_clusters_and_large_nodes(spark, monkeypatch, limit, levels):
     """Families of edited copies; small limits force branching and tiles."""
     monkeypatch.setattr(N, "LIMIT", limit)
     monkeypatch.setattr(N, "LEVELS", levels)
+    monkeypatch.setattr(N, "TILE_CLASSES", 5 * limit)
     r = random.Random(limit)
     rows = []
     for f in range(6):
