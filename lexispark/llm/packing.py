@@ -8,8 +8,9 @@ until there is none.  Documents are laid end to end along the paths and cut at e
 has one window that is not full.  Only numbers are shuffled; ids stay in the stored table, to whose rows the pieces
 are delivered.
 
-Defined cases: a null or empty text is its end id alone; a null id is carried; repeated rows are packed each; an
-empty table gives no rows.
+Defined cases: a null or empty text is its end id alone; a very long text is cut into as many pieces as it needs; a null
+id is carried; repeated rows are packed each; neighbours that agree as much are told apart by a hash; an empty table gives
+no rows; other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from . import blocks as B
 from .tokens import encode, vocabulary
 
 WINDOW, EOS, NEAR, SHARD, SMALL = 2048, 1, 4, 20_000, 48
+SPECIAL = {"<|endoftext|>": 50256}  # of the default vocabulary
 _MUL = np.random.default_rng(77).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IDS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("grp", pa.int32()), ("blk", pa.string()), ("row", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("ids", pa.binary())])
 IDS = "doc_id long, uid long, grp int, blk string, row long, n long, sketch binary, ids binary"
@@ -46,14 +48,14 @@ def _sketches(raws: list[bytes]) -> np.ndarray:
     return out
 
 
-def _encode(path: str, eos: int):
+def _encode(path: str, eos: int, special: dict[str, int]):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = None, 0
         for blk, grp, b in B.by_block(batches):
             if blk != now:
                 now, at = blk, 0
             doc, uid = b.column("doc_id").to_pylist(), b.column("uid").to_pylist()
-            for i, ids, raws in encode(b, path):
+            for i, ids, raws in encode(b, path, special=special):
                 s = _sketches(raws)
                 full = [np.append(x, np.uint32(eos)) for x in ids]
                 yield B.rows(_IDS, [(doc[i + k], uid[i + k], grp, blk, at + i + k, len(x), s[k].tobytes(), (x.astype(np.uint16) if x.max() < 65536 else x).tobytes()) for k, x in enumerate(full)])
@@ -151,7 +153,7 @@ def _nearest(near: int):
 def neighbours(sketches: DataFrame, width: int, near: int = NEAR) -> DataFrame:
     """(u, [(score, v)]): the neighbours of each document that has some, with the highest agreements there are."""
     rows = sketches.select("uid", "sketch").mapInArrow(_coordinates, "value long, uid long, sketch binary").repartition(width, "value")
-    edges = rows.mapInArrow(_nearest(near), "u long, rank int, v long")
+    edges = rows.mapInArrow(B.tidy(_nearest(near)), "u long, rank int, v long")
     best = F.slice(F.sort_array(F.collect_set(F.struct("rank", "v")), asc=False), 1, near)
     return edges.groupBy("u").agg(F.transform(best, lambda x: F.struct(F.shiftright(x.rank, 24).alias("score"), x.v.alias("v"))).alias("near"))
 
@@ -238,16 +240,20 @@ def _cut(path: str, digest: bool):
     return step
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, eos: int = EOS, window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """One row per piece, with its ids as little-endian 32-bit integers, or with their crc32 if ``digest``."""
-    width = B.owners(docs.sparkSession)
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, eos: int = EOS, window: int = WINDOW, digest: bool = False, special: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece, with its ids as little-endian 32-bit integers, or with their crc32 if ``digest``.
+
+    ``vocab``: ranks of a byte-level vocabulary, the default being the ranks of ``byte_bpe_50k.json``; ``special``: its special tokens.
+    """
+    special = (SPECIAL if vocab is None else {}) if special is None else special
+    width = B.owners(docs)
     src, files = B.with_blocks(B.block_source(docs), F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
-    ids = B.stored(src.mapInArrow(_encode(vocab or vocabulary(), eos), IDS), "ids")
+    ids = B.stored(src.mapInArrow(B.tidy(_encode(vocab or vocabulary(), eos, special)), IDS), "ids")
     size = ids.select("uid", "grp", "blk", "row", "n")
     graph = B.stored(neighbours(ids.select("uid", "sketch"), width), "graph")
     laid = shards(size, graph).groupBy("shard").applyInArrow(_lay(window), LAID)
     path = B.deliver(laid, files, "pieces")
-    return ids.select("doc_id", "grp", "blk", "row", "n", "ids").mapInArrow(_cut(path, digest), DIGEST if digest else PIECES)
+    return ids.select("doc_id", "grp", "blk", "row", "n", "ids").mapInArrow(B.tidy(_cut(path, digest)), DIGEST if digest else PIECES)
 
 
 def op8_packing(spark, sf_dir):

@@ -4,7 +4,10 @@ A document is encoded once.  Token lengths in bytes give spans; each token is al
 rule: ``start`` (the section of its first byte), ``largest`` (most bytes, the earlier on ties) or ``split`` (in
 proportion to bytes).  Sections are character spans, sorted and apart; what lies between them is section -1.
 
-Defined cases: a null text is empty and has the one empty section 0; sections that overlap or leave the text raise.
+Defined cases: a null text is empty and has the one empty section 0; sections that overlap or leave the text raise;
+the strings of special tokens are ordinary text here; a very long text is encoded whole; equal bytes of two sections in
+one token (a tie of ``largest``) go to the earlier one; a null id is carried; repeated rows each get their rows; an empty
+table gives no rows; other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 
 RULES = ("start", "largest", "split")
 
@@ -42,13 +46,23 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), size
 
 
-def encode(b: pa.RecordBatch, path: str, step: int = 64) -> Iterator[tuple[int, list[np.ndarray], list[bytes]]]:
+def _ids(enc, text: str, special: dict[str, int]) -> list[int]:
+    """Ids of a text; the strings of ``special`` have their own id and part what is around them."""
+    for name, own in special.items():
+        if name in text:
+            rest = {k: v for k, v in special.items() if k != name}
+            parts = [_ids(enc, part, rest) for part in text.split(name)]
+            return [x for k, p in enumerate(parts) for x in ([own, *p] if k else p)]
+    return enc.encode_ordinary(text)
+
+
+def encode(b: pa.RecordBatch, path: str, step: int = 64, special: dict[str, int] | None = None) -> Iterator[tuple[int, list[np.ndarray], list[bytes]]]:
     """(first row, ids of each text, the texts' bytes), a few texts at a time."""
     enc, _ = encoder(path)
     col = b.column("text")
     for i in range(0, b.num_rows, step):
         texts = [t or "" for t in col.slice(i, step).to_pylist()]
-        yield i, [np.array(enc.encode_ordinary(t), np.uint32) for t in texts], [t.encode() for t in texts]
+        yield i, [np.array(_ids(enc, t, special or {}), np.uint32) for t in texts], [t.encode() for t in texts]
 
 
 def lines(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +164,7 @@ def section_tokens(docs: DataFrame, rule: str = "largest", vocab: str | None = N
                     pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2]), pa.array(cols[3].astype(np.int64)), pa.array(np.repeat([len(x) for x in ids], n).astype(np.int64)),
                 ], schema=_OUT)
 
-    return docs.select(*cols).mapInArrow(step, OUT)
+    return docs.select(*cols).mapInArrow(B.tidy(step), OUT)
 
 
 def op4_section_tokens(spark, sf_dir):
