@@ -3,11 +3,14 @@
 Each category of the chain has a linear model over the presence of words and word beginnings and over the log-odds
 of the categories before it.  For training those log-odds are out-of-fold predictions, for scoring the predictions
 of the models fitted on all rows.  The models are fitted in the driver on at most ``SAMPLE`` labelled documents,
-those with the smallest hash of their id; every document is scored.  The cut of the last category is the one with
-the best F1 of its out-of-fold predictions.
-
-Defined cases: a null text has no words; labels that are null are not used, of repeated labels each counts; with
-no labels, or one class, a model predicts the share that it saw (0 without labels); an empty table gives no rows.
+those with the smallest hash of their id; every document is scored.  Folds follow from a hash of the text, so copies
+share a fold.  The cut of the last category is the one with the best F1 of its out-of-fold predictions among those with
+``LEAST`` true ones at least and a precision half way from the base rate to 1; if there is none, nothing is rejected.
+
+Defined cases: a null or empty text has no words; a very long text is read whole; labels that are null are not used, of
+repeated labels each counts; with no labels, or one class, a model predicts the share that it saw (0 without labels) and
+nothing is rejected; a null id has no label and is scored; repeated rows are scored each; ties of features are broken by
+their key; an empty table gives no rows; other columns of the table, whatever their names, are kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -114,9 +117,9 @@ class Chain:
         return out
 
 
-def fit_chain(n: int, row: np.ndarray, col: np.ndarray, known: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> Chain:
-    """``col``: places in the sorted keys ``known``.  ``y`` has a column for each category, in order."""
-    fold, width = np.arange(n) % folds, len(known)
+def fit_chain(n: int, row: np.ndarray, col: np.ndarray, known: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> Chain:
+    """``col``: places in the sorted keys ``known``.  ``y`` has a column for each category, in order; ``fold`` a number of each row."""
+    width = len(known)
     models, extra = [], np.zeros((n, 0))
     for j in range(y.shape[1]):
         out = np.zeros(n)
@@ -134,15 +137,18 @@ def fit_chain(n: int, row: np.ndarray, col: np.ndarray, known: np.ndarray, y: np
 
 
 def best_cut(score: np.ndarray, y: np.ndarray) -> float:
-    """The log-odds with the best F1; above all scores if nothing is positive."""
+    """The log-odds with the best F1 among the cuts that tell the positives apart (see above); infinite if there is none."""
     if not len(y) or not y.any():
         return np.inf
     order = np.argsort(-score, kind="stable")
+    ranked, many = score[order], np.arange(1, len(y) + 1)
     hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    k = int(np.argmax(f1))
-    low = score[order[k + 1]] if k + 1 < len(y) else score[order[k]] - 1
-    return float((score[order[k]] + low) / 2)
+    ok = (hit >= LEAST) & (hit / many >= (1 + y.mean()) / 2) & np.append(ranked[1:] < ranked[:-1], True)
+    if not ok.any():
+        return np.inf
+    k = int(np.argmax(np.where(ok, 2 * hit / (many + y.sum()), -1)))
+    low = ranked[k + 1] if k + 1 < len(y) else ranked[k] - 1
+    return float((ranked[k] + low) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates: int = CANDIDATES) -> Chain:
@@ -153,15 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
     """
     usable = labels.where("doc_id is not null and quality is not null and toxic is not null")
     some = usable.select("doc_id", (1 - F.col("quality")).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "low_quality", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text").join(F.broadcast(some), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, row, key in _keys(b):
                 keys = pa.array(_split(row, key, j - i), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", *CHAIN)), keys], names=["doc_id", *CHAIN, "keys"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", "hash", *CHAIN)), keys], names=["doc_id", "hash", *CHAIN, "keys"])
 
-    rows = B.stored(rows.mapInArrow(features, "doc_id long, low_quality int, toxic int, keys array<long>"), "labelled")
+    rows = B.stored(rows.mapInArrow(B.tidy(features), "doc_id long, hash long, low_quality int, toxic int, keys array<long>"), "labelled")
     n, *sums = rows.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in CHAIN]).first()
     seen = rows.select(F.explode("keys").alias("key"), *CHAIN).groupBy("key").agg(F.count("*").alias("c"), *[F.sum(c).alias(c) for c in CHAIN]).where(F.col("c") >= LEAST)
     seen, known = B.stored(seen, "counted"), set()
@@ -174,9 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
     def presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_places(known, np.array(k, np.int64)).tobytes() for k in b.column("keys").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *CHAIN)), pa.array(sets, pa.binary())], names=["doc_id", *CHAIN, "hits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "hash", *CHAIN)), pa.array(sets, pa.binary())], names=["doc_id", "hash", *CHAIN, "hits"])
 
-    got = rows.mapInArrow(presences, "doc_id long, low_quality int, toxic int, hits binary").toArrow().sort_by([("doc_id", "ascending")])
+    got = rows.mapInArrow(B.tidy(presences), "doc_id long, hash long, low_quality int, toxic int, hits binary").toArrow().sort_by([(c, "ascending") for c in ("hash", "doc_id", *CHAIN)])
     sets = [np.frombuffer(x, np.uint32) for x in got.column("hits").to_pylist()]
     y = np.column_stack([got.column(c).to_numpy().astype(float) for c in CHAIN]) if len(sets) else np.zeros((0, len(CHAIN)))
     row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets]) if sets else np.zeros(0, np.int32)
@@ -184,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
     back = np.empty(len(known), np.int32)
     back[place] = np.arange(len(known))
     col = back[np.concatenate(sets)] if sets else np.zeros(0, np.int32)
-    return fit_chain(len(sets), row, col, known.view(np.uint64)[place], y)
+    fold = got.column("hash").to_numpy() % FOLDS if len(sets) else np.zeros(0, np.int64)
+    return fit_chain(len(sets), row, col, known.view(np.uint64)[place], y, fold)
 
 
 def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -217,7 +224,7 @@ def scores(docs: DataFrame, chain: Chain) -> DataFrame:
             p, bad = 1 / (1 + np.exp(-np.clip(x, -60, 60))), x[:, -1] > chain.cut
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(bad), pa.array(~bad)], names=["doc_id", "p_low_quality", "p_toxic", "toxic", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(step, OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.tidy(step), OUT)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -227,7 +234,7 @@ def drop_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_logits(b, chain)[:, -1] <= chain.cut))
 
-    return docs.mapInArrow(step, docs.schema)
+    return docs.mapInArrow(B.tidy(step), docs.schema)
 
 
 def op5_toxicity(spark, sf_dir):
