@@ -317,12 +317,14 @@ def _kept(said: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (7, 2)) -> DataFrame:
     """log10 probability of every text under a bigram model of the texts whose crc32(id) mod fold[0] is not fold[1]."""
-    m = 2 * B.owners(docs.sparkSession)
+    m = 2 * B.owners(docs)
     src, files = B.with_blocks(B.block_source(docs), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     reply = lambda t: t.where("kind = 'reply'").select("grp", "blk", "run", "owner", "hot", "payload")
 
-    asked = src.mapInArrow(_ask_words(m, fold), ASK1)
+    asked = src.mapInArrow(B.tidy(_ask_words(m, fold)), ASK1)
     said, at = _kept(B.at_owners(asked, m, _own_words, SAID), "words")
+    del asked
+    B.freed(docs.sparkSession)
     sizes, total, texts, n = np.zeros(m, np.int64), 0, 0, np.zeros(KMAX + 2, np.int64)
     for r in said.where("kind = 'stats'").select("owner", "payload").collect():
         head, c = B.unpack(bytes(r.payload))
@@ -331,9 +333,12 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     voc = Vocabulary(sizes, total, texts, n)
     words = B.deliver(reply(said), files, "word-replies")
     B.remove(docs.sparkSession, f"{at}/kind=reply")
+    B.freed(docs.sparkSession)
 
-    asked = src.mapInArrow(_ask_bigrams(voc, words, fold), ASK2)
+    asked = src.mapInArrow(B.tidy(_ask_bigrams(voc, words, fold)), ASK2)
     said, at = _kept(B.at_owners(asked, m, _own_bigrams(voc), SAID), "bigrams")
+    del asked
+    B.freed(docs.sparkSession)
     n = np.zeros(KMAX + 2, np.int64)
     figures: dict[int, np.ndarray] = {}
     for r in said.where("kind in ('stats', 'hot')").select("kind", "payload").collect():
@@ -348,7 +353,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = (np.array(order, np.int64), table[:, 0].astype(np.int64), table[:, 1 : KMAX + 1].astype(np.int64), table[:, KMAX + 1])
     grams = B.deliver(reply(said), files, "bigram-replies")
     B.remove(docs.sparkSession, f"{at}/kind=reply")
-    return src.mapInArrow(_score(voc, discounts(n), hot, words, grams, fold), OUT)
+    B.freed(docs.sparkSession)
+    return src.mapInArrow(B.tidy(_score(voc, discounts(n), hot, words, grams, fold)), OUT)
 
 
 def op1_katz(spark, sf_dir):
