@@ -5,20 +5,21 @@ from __future__ import annotations
 import argparse
 import csv
 import json
-import tempfile
 import sys
+import tempfile
+from collections import Counter
 from pathlib import Path
 
 from .operators import report
 from .operators.lexicon import Lexicon, canonicalize
-from .operators.validate import problems
-from .operators.validate import report as findings
+from .operators.validate import findings, problems
 from .session import session
 from .sources.archive import lift_path
 from .sources.nodes import LiftError
 
 
 _FORMATS = ["text", "json"]
+NOTE = "sounds that are named " + "in the text of forms " + "are not followed here"
 
 
 def _counts(*parts: tuple[int, str]) -> str:
@@ -32,17 +33,26 @@ def _validate(spark, a) -> int:
             p.write_bytes(sys.stdin.buffer.read())
             lex = Lexicon.read(spark, p, resolve_ranges=False)
             lex.path = None
-            found = findings(problems(lex, a.require_ids))
+            return _findings(findings(problems(lex, a.require_ids)), a)
+    with lift_path(a.path) as p:
+        return _findings(findings(problems(Lexicon.read(spark, p), a.require_ids), not a.no_check_media), a)
+
+
+def _findings(found, a) -> int:
+    """Print findings as they come, then their counts."""
+    counts = Counter()
+    if a.format == "json":
+        found = list(found)
+        counts.update(f.level for f in found)
     else:
-        with lift_path(a.path) as p:
-            found = findings(problems(Lexicon.read(spark, p), a.require_ids), not a.no_check_media)
-    errors = sum(f.level == "error" for f in found)
-    warnings = len(found) - errors
+        for f in found:
+            counts[f.level] += 1
+            print(f)
+    errors, warnings = counts["error"], counts["warning"]
     if a.format == "json":
         total = {"errors": errors, "warnings": warnings}
         print(json.dumps({"problems": [vars(f) for f in found], "summary": total}, indent=2))
     else:
-        print(*found, sep="\n", end="\n" if found else "")
         print(_counts((errors, "error(s)"), (warnings, "warning(s)")) + ("  (strict: warnings treated as errors)" if a.strict and warnings else ""))
     return int(bool(errors or (a.strict and warnings)))
 
@@ -70,13 +80,16 @@ def _sort(spark, a) -> int:
 def _check_media(spark, a) -> int:
     with lift_path(a.path) as p:
         lex = Lexicon.read(spark, p)
-        missing = lex.missing_media().orderBy("entry_pos", "seq").collect()
-        orphans = [r.path for r in lex.orphan_media().orderBy("path").collect()]
-    for r in missing:
-        print(f"missing  {r.kind:12s} {r.href!r} (entry {r.entry_id or r.entry_guid or '?'})")
-    for o in orphans:
-        print(f"orphaned {o} (no media/illustration references it)")
-    print(_counts((len(missing), "missing"), (len(orphans), "orphaned")))
+        missing = orphans = 0
+        for r in lex.missing_media().orderBy("entry_pos", "seq").toLocalIterator(prefetchPartitions=True):
+            missing += 1
+            print(f"missing  {r.kind:12s} {r.href!r} (entry {r.entry_id or r.entry_guid or '?'})")
+        for r in lex.orphan_media().orderBy("path").toLocalIterator(prefetchPartitions=True):
+            orphans += 1
+            print(f"orphaned {r.path} (no media/illustration references it)")
+    if orphans:
+        print("note:", NOTE)
+    print(_counts((missing, "missing"), (orphans, "orphaned")))
     return int(bool(missing))
 
 

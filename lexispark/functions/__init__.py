@@ -1,5 +1,5 @@
 """Scalar functions over DataFrame columns."""
 
-from .text import casefold, clean_href, escape_xml, nfc, py_repr, suspicious_uri
+from .text import casefold, clean_href, nfc, py_repr
 
-__all__ = ["casefold", "clean_href", "escape_xml", "nfc", "py_repr", "suspicious_uri"]
+__all__ = ["casefold", "clean_href", "nfc", "py_repr"]

@@ -37,22 +37,9 @@ def py_repr(c: Column) -> Column:
     return F.when(c.rlike(r"^[\x20-\x26\x28-\x5B\x5D-\x7E]*$"), F.concat(F.lit("'"), c, F.lit("'"))).when(c.isNull(), F.lit("None")).otherwise(_repr(c))
 
 
-def suspicious_uri(c: Column) -> Column:
-    """Why a URI would fail a strict parser, or null.  The first reason holds."""
-    return (
-        F.when(c.contains(" "), F.lit("contains an unencoded space"))
-        .when(c.contains("\\"), F.lit("contains backslashes (not a URI path separator)"))
-        .when(c.rlike(r"^file://\p{L}:"), F.lit("Windows drive letter used as URI authority"))
-    )
-
 
 def clean_href(c: Column) -> Column:
     """A relative path with forward slashes, or null for remote, absolute and drive paths."""
     away = c.contains("://") | c.rlike(r"^(https?:|file:)") | c.rlike(r"^[/\\]") | c.rlike(r"^[A-Za-z]:")
     slashed = F.regexp_replace(c, r"\\", "/")
     return F.when(~away, F.regexp_replace(F.regexp_replace(F.regexp_replace(slashed, "/+", "/"), r"/(\./)+", "/"), r"^(\./)+", ""))
-
-
-def escape_xml(c: Column) -> Column:
-    """Character data: ampersand and angle brackets."""
-    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

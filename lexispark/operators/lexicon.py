@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import tempfile
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casefold
-from ..session import ship, stored
+from ..session import shared_dir, ship, stored
 from ..sources import nodes as N
-from ..sources.lift_source import children, read_document
+from ..sources.lift_source import children, local_file, read_document, write_rows
 from ..sources.shred import NAMES, NODES, shred
 from . import relational as R
 
-ENTRIES = "doc string, entry_pos long, line int, byte_start long, byte_end long, raw binary, touched boolean"
+ENTRIES = "doc string, entry_pos long, line int, byte_start long, byte_end long, prev_end long, raw binary, touched boolean"
 _COLUMNS = [c.split()[0] for c in ENTRIES.split(", ")]
 
 
@@ -116,17 +117,26 @@ class Lexicon:
         self.source: dict | None = None
         self.residue: list[tuple[int, bytes]] = []
         self._nodes: DataFrame | None = None
+        self.staged: object = None
 
     # --- loading
 
     @classmethod
     def read(cls, spark: SparkSession, path: str | os.PathLike, resolve_ranges: bool = True, split: int = 8 << 20) -> Lexicon:
-        """A .lift file with its companions (for a .zip see ``sources.archive.lift_path``)."""
-        p = Path(path)
-        doc, kept, head = read_document(os.fspath(p))
+        """A .lift file with its companions, or a .zip of its folder, which is extracted to the shared folder for as long as the lexicon lives."""
+        p, staged = Path(path), None
+        if p.suffix.lower() == ".zip":
+            from ..sources.archive import stage
+
+            base = local_file(shared_dir(spark, "zip"))
+            base.mkdir(parents=True)
+            staged = tempfile.TemporaryDirectory(prefix="lexicon-", dir=base)
+            p = stage(p, Path(staged.name))
+        doc, kept, head = read_document(os.fspath(p), split=split)
         ship(spark)
-        rows = children(spark, os.fspath(p), split=split).where("entry_pos is not null")
+        rows = children(spark, os.fspath(p), split=split, doc=doc).where("entry_pos is not null")
         lex = cls(spark, rows.withColumn("touched", F.lit(False)).select(*_COLUMNS), p)
+        lex.staged = staged
         lex.attrs = dict(doc.attrs)
         lex.root_open = head if head else lex.root_open
         found = None
@@ -235,15 +245,24 @@ class Lexicon:
 
     def media_files(self) -> DataFrame:
         """(path): files below audio and pictures, relative to the lexicon."""
-        base = self.path.parent if self.path else None
-        out = [(p.relative_to(base).as_posix(),) for d in ("audio", "pictures") if base and (base / d).is_dir() for p in sorted((base / d).rglob("*")) if p.is_file()]
-        other = []
-        if base:
-            for r in self.media_refs().select("href").distinct().toLocalIterator():
-                rel = local_path(r.href or "")
-                if rel and (base / rel).is_file():
-                    other.append((os.path.normpath(rel).replace(os.sep, "/"),))
-        return self.spark.createDataFrame([*out, *other], "path string").distinct()
+        if self.path is None:
+            return self.spark.createDataFrame([], "path string")
+        base = os.fspath(self.path.parent)
+        tops = [(d,) for d in ("audio", "pictures") if os.path.isdir(os.path.join(base, d))]
+
+        def below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for d in f["path"]:
+                    for at, _, names in os.walk(os.path.join(base, d)):
+                        yield pd.DataFrame({"path": [os.path.relpath(os.path.join(at, n), base).replace(os.sep, "/") for n in names if os.path.isfile(os.path.join(at, n))]})
+
+        def there(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rel = [local_path(h or "") for h in f["href"]]
+                yield pd.DataFrame({"path": [os.path.normpath(r).replace(os.sep, "/") for r in rel if r and os.path.isfile(os.path.join(base, r))]})
+
+        out = self.spark.createDataFrame(tops, "path string").mapInPandas(below, "path string")
+        return out.union(self.media_refs().select("href").distinct().mapInPandas(there, "path string")).distinct()
 
     def _candidates(self) -> DataFrame:
         from ..functions import clean_href
@@ -258,8 +277,8 @@ class Lexicon:
 
     def orphan_media(self) -> DataFrame:
         """Files in the media folders that nothing refers to."""
-        used = self._candidates().select(F.explode("paths").alias("path"))
-        return self.media_files().where("path like 'audio/%' or path like 'pictures/%'").join(used, "path", "left_anti")
+        folders = self.media_files().where("path like 'audio/%' or path like 'pictures/%'")
+        return R.unreferenced(folders, self._candidates(), F.col("paths"), "path")
 
     # --- edits
 
@@ -284,7 +303,7 @@ class Lexicon:
 
     def _with(self, entries: DataFrame, order: bool) -> Lexicon:
         out = Lexicon(self.spark, entries, self.path)
-        out.header, out.attrs, out.companions, out.root_open, out.residue = self.header, self.attrs, self.companions, self.root_open, list(self.residue)
+        out.header, out.attrs, out.companions, out.root_open, out.residue, out.staged = self.header, self.attrs, self.companions, self.root_open, list(self.residue), self.staged
         out.source = {**self.source, "order": self.source["order"] and order} if self.source else None
         return out
 
@@ -296,21 +315,39 @@ class Lexicon:
     def append(self, new: list[N.Node]) -> Lexicon:
         """With more entries at the end."""
         at = (self.entries.agg(F.max("entry_pos")).first()[0] or 0) + 1
-        rows = [("", at + i, None, None, None, N.canonical(n).rstrip("\n").encode(), True) for i, n in enumerate(new)]
+        rows = [("", at + i, None, None, None, None, N.canonical(n).rstrip("\n").encode(), True) for i, n in enumerate(new)]
         return self._with(self.entries.unionByName(self.spark.createDataFrame(rows, ENTRIES)), order=False)
 
     def sort(self) -> Lexicon:
         """Canonical order: case-folded guid, then id, then place; null first, and the header's ranges and fields."""
         e = self.table("entry").select("entry_pos", casefold(F.coalesce("guid", F.lit(""))).alias("g"), casefold(F.coalesce("id", F.lit(""))).alias("i"))
-        rank = ranked(e, ["g", "i", "entry_pos"])
-        moved = self.entries.join(rank.select("entry_pos", "rank"), "entry_pos").drop("entry_pos").withColumnRenamed("rank", "entry_pos").select(*_COLUMNS)
+        out = self.reorder(ranked(e, ["g", "i", "entry_pos"]).select("entry_pos", F.col("rank").alias("place")))
+        self._sort_header()
+        return out
+
+    def reorder(self, order: DataFrame) -> Lexicon:
+        """The entries that ``order`` (entry_pos, place) lists, at the places that it gives them."""
+        moved = self.entries.join(order.select("entry_pos", "place"), "entry_pos").drop("entry_pos").withColumnRenamed("place", "entry_pos").select(*_COLUMNS)
+        return self._with(moved, order=False)
+
+    def insert(self, entry_pos: int, new: list[N.Node]) -> Lexicon:
+        """With more entries before the one at ``entry_pos``."""
+        moved = self.entries.withColumn("entry_pos", F.col("entry_pos") + F.when(F.col("entry_pos") >= entry_pos, len(new)).otherwise(0)).select(*_COLUMNS)
+        rows = [("", entry_pos + i, None, None, None, None, N.canonical(n).rstrip("\n").encode(), True) for i, n in enumerate(new)]
+        return self._with(moved.unionByName(self.spark.createDataFrame(rows, ENTRIES)), order=False)
+
+    def entry_at(self, lines: DataFrame) -> DataFrame:
+        """(line, entry_pos): the last entry that begins at or before each line; null before the first."""
+        starts = self.entries.where("line is not null").select(F.col("line").cast("long").alias("line"), "entry_pos")
+        return R.as_of(lines.select("line"), starts, [], "line", ["entry_pos"], buckets=64)
+
+    def _sort_header(self) -> None:
         for r in self.ranges_of_header():
             sort_range(r)
         for tag, sub, key in (x.split() for x in ("ranges range id", "fields field tag")):
             c = self.header.one(tag)
             if c is not None:
                 c.kids.get(sub, []).sort(key=lambda x: x.attrs[key].casefold())
-        return self._with(moved, order=False)
 
     def add_ranges_file(self, name: str, ranges: RangesFile) -> None:
         """Attach a companion and give the header a reference to each of its ranges that it lacks."""
@@ -335,7 +372,7 @@ class Lexicon:
     def chunks(self, canonical: bool = False) -> Iterator[bytes]:
         """The document's bytes.  Untouched parts keep theirs: all but edited nodes if order and residue are the source's."""
         entries = self.entries.select("entry_pos", "byte_start", "byte_end", "raw")
-        rows = (_canonical(entries, self.root_open) if canonical else entries).orderBy("entry_pos")
+        rows = (canonical_entries(entries, self.root_open) if canonical else entries).orderBy("entry_pos")
         head = N.canonical(self.header).encode()
         s = self.source
         known = s is not None and not canonical
@@ -398,6 +435,36 @@ class Lexicon:
                 at = r.byte_end
             yield from copy(at, doc.size)
 
+    def _write(self, target: Path) -> None:
+        """The bytes of ``chunks``, written by the tasks that have the entries; by the driver only where root children beside the header and entries have to be placed anew."""
+        s = self.source
+        if s is not None and s["order"] and self.residue == s["residue"]:
+            whole = _Copy(s, N.canonical(self.header).rstrip("\n").encode() if s["header"] and N.digest(self.header) != s["header"][2] else None)
+            doc = s["doc"]
+            prolog = b"".join(whole(0, doc.root_end)) if self.attrs == s["attrs"] else b"".join(whole(0, doc.root_start)) + self._open_tag().encode()
+            if s["header"] is None and self.header.filled():
+                prolog += b"\n" + N.canonical(self.header).rstrip("\n").encode()
+
+            def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    yield pd.DataFrame({"raw": [b"".join(whole(int(a), int(e))) + bytes(raw) for a, e, raw in zip(f["prev_end"], f["byte_start"], f["raw"], strict=True)]})
+
+            write_rows(self.entries.select("prev_end", "byte_start", "raw").mapInPandas(step, "raw binary"), target, prolog, b"".join(whole(doc.last, doc.size)), exact=True)
+        elif self.residue:
+            replace(target, self.chunks())
+        else:
+            rows = self.entries if s is not None and s["order"] else self.entries.repartitionByRange("entry_pos").sortWithinPartitions("entry_pos")
+            write_rows(rows, target, self._prolog(), b"</lift>\n", exact=False)
+
+    def _prolog(self, canonical: bool = False) -> bytes:
+        """What stands before the entries of a new document."""
+        s, head = self.source, N.canonical(self.header).encode() if self.header.filled() else b""
+        if head and s is not None and not canonical and s["header"] and N.digest(self.header) == s["header"][2]:
+            with s["path"].open("rb") as f:
+                f.seek(s["header"][0])
+                head = f.read(s["header"][1] - s["header"][0]) + b"\n"
+        return N.DECLARATION + self._open_tag().encode() + b"\n" + head
+
     def save(self, path: str | os.PathLike | None = None) -> None:
         """Write the document and its companions; companions follow to a new folder."""
         target = self.path if path is None else Path(path)
@@ -405,7 +472,7 @@ class Lexicon:
             raise ValueError("no path to save to")
         if target.suffix.lower() == ".zip":
             raise ValueError("save to a .zip with save_zip")
-        replace(target, self.chunks())
+        self._write(target)
         for name, c in self.companions.items():
             here = c.path is not None and self.path is not None and c.path.parent.resolve() == self.path.parent.resolve()
             c.save(target.parent / name if here or c.path is None else c.path)
@@ -414,23 +481,24 @@ class Lexicon:
     def save_zip(self, path: str | os.PathLike, wrap: bool | str = True) -> None:
         """The lexicon's whole folder as an archive, with the document and companions as they are now."""
         import shutil
-        import tempfile
 
         from ..sources.archive import zip_folder
 
-        with tempfile.TemporaryDirectory(prefix="lexispark-zip-") as d:
+        base = local_file(shared_dir(self.spark, "zip"))
+        base.mkdir(parents=True)
+        with tempfile.TemporaryDirectory(prefix="lexicon-", dir=base) as d:
             folder = Path(d) / "lexicon"
             if self.path is not None:
                 shutil.copytree(self.path.parent, folder, ignore=lambda _, names: [n for n in names if n.endswith(".zip")])
             else:
                 folder.mkdir()
-            replace(folder / (self.path.name if self.path else "lexicon.lift"), self.chunks())
+            self._write(folder / (self.path.name if self.path else "lexicon.lift"))
             for name, c in self.companions.items():
                 c.save(folder / name)
             zip_folder(folder, Path(path), wrap)
 
 
-def _canonical(entries: DataFrame, head: bytes) -> DataFrame:
+def canonical_entries(entries: DataFrame, head: bytes) -> DataFrame:
     """Entries written anew, in the tasks that hold them."""
 
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -457,8 +525,41 @@ def canonicalize(spark: SparkSession, source: str | os.PathLike, target: str | o
     for p in (source, target):
         if Path(p).suffix.lower() == ".zip":
             raise N.LiftError("sort takes a .lift file, not an archive")
-    lex = Lexicon.read(spark, source, resolve_ranges=False).sort()
-    replace(Path(target), lex.chunks(canonical=True))
+    lex = Lexicon.read(spark, source, resolve_ranges=False)
+    if lex.residue:
+        replace(Path(target), lex.sort().chunks(canonical=True))
+        return
+    head = lex.root_open
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for pos, raw in zip(f["entry_pos"], f["raw"], strict=True):
+                n = N.parse_fragment(head, raw, "entry")
+                out.append(((n.attrs["guid"] or "").casefold(), (n.attrs["id"] or "").casefold(), pos, N.canonical(n).encode()))
+            yield pd.DataFrame(out, columns=["g", "i", "entry_pos", "raw"])
+
+    rows = stored(lex.entries.select("entry_pos", "raw").mapInPandas(step, "g string, i string, entry_pos long, raw binary"), "canonical")
+    lex._sort_header()
+    write_rows(rows.repartitionByRange("g", "i", "entry_pos").sortWithinPartitions("g", "i", "entry_pos"), target, lex._prolog(canonical=True), b"</lift>\n", exact=False)
+
+
+class _Copy:
+    """Bytes of the source between two places, its header replaced where it was edited; in the driver and in tasks."""
+
+    def __init__(self, source: dict, header: bytes | None):
+        self.path, self.header = os.fspath(source["path"]), header
+        self.at = source["header"][:2] if source["header"] else None
+
+    def __call__(self, a: int, e: int) -> Iterator[bytes]:
+        with open(self.path, "rb") as f:
+            if self.header is not None and a <= self.at[0] < e:
+                f.seek(a)
+                yield f.read(self.at[0] - a)
+                yield self.header
+                a = self.at[1]
+            f.seek(a)
+            yield f.read(max(0, e - a))
 
 
 def element_tree(raw: bytes, head: bytes) -> ET.Element:

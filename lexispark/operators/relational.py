@@ -41,10 +41,6 @@ def missing_parents(rows: DataFrame, scope: list[str], key: str, parent: str) ->
     return rows.where((F.col(parent) != "") & F.col(parent).isNotNull()).join(keys, [*scope, parent], "left_anti")
 
 
-def repeated(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Values that occur more than once within ``by``, with ``n``."""
-    return rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")).where("n > 1")
-
 
 def first_by_priority(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key."""
@@ -84,27 +80,12 @@ def _struct(df: DataFrame, at: str, columns: list[str]) -> str:
     return df.select(F.struct(F.col(at).alias("__at"), *columns).alias("s")).schema["s"].dataType.simpleString()
 
 
+def unreferenced(files: DataFrame, refs: DataFrame, candidates: Column, path: str) -> DataFrame:
+    """Files that are no reference's candidate."""
+    return files.join(refs.select(F.explode(candidates).alias(path)), path, "left_anti")
+
+
 def anti_paths(refs: DataFrame, candidates: Column, files: DataFrame, path: str) -> DataFrame:
     """References none of whose candidate paths is a file.  ``refs`` needs a unique ``ref_id``."""
     found = refs.select("ref_id", F.explode(candidates).alias(path)).join(files.select(path).distinct(), path, "left_semi").select("ref_id").distinct()
     return refs.join(found, "ref_id", "left_anti")
-
-
-def first_match(rows: DataFrame, by: list[str], lang: str, text: str, order: str, langs: list[str]) -> DataFrame:
-    """One row per ``by`` with the first text of each language: one aggregate with a filter for each."""
-    return rows.groupBy(*by).agg(*[F.min_by(F.when(F.col(lang) == x, F.col(text)), F.when(F.col(lang) == x, F.col(order))).alias(x) for x in langs])
-
-
-def tree(rows: DataFrame, key: str, parent: str, most: int) -> DataFrame:
-    """(key, root, depth) of every node whose chain of parents reaches a root within ``most`` steps: a join for each level."""
-    level = rows.where(F.col(parent).isNull()).select(key, F.col(key).alias("root"), F.lit(0).alias("depth"))
-    out, kids = level, rows.where(F.col(parent).isNotNull()).select(key, parent)
-    for d in range(1, most + 1):
-        level = kids.join(level.select(F.col(key).alias(parent), "root"), parent).select(key, "root", F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out
-
-
-def leaves(rows: DataFrame, key: str, parent: str) -> DataFrame:
-    """Rows that are no one's parent."""
-    return rows.join(rows.where(F.col(parent).isNotNull()).select(F.col(parent).alias(key)).distinct(), key, "left_anti")

@@ -125,10 +125,11 @@ def problems(lex: Lexicon, require_ids: bool = False) -> DataFrame:
     nodes = lex.nodes
     entry = ["entry_pos", "entry_id", "entry_guid", "entry_line"]
     zero = F.lit(0).cast("long")
+    lifo, idx, owner, last = _Steps("lifo"), _Steps("idx"), _Steps("seq.a"), _Steps("seq.idx")
 
     def out(df: DataFrame, block: int, seq: list, level: str, code: str, message: Column, where: Column = file, guid: Column | None = None, owner: bool = True, line: bool = True) -> DataFrame:
         return df.select(
-            F.array(F.lit(block).cast("long"), *[c.cast("long") for c in seq]).alias("seq"), F.lit(level).alias("level"), F.lit(code).alias("code"), message.alias("message"), where.alias("file"),
+            F.concat(F.array(F.lit(block).cast("long")), *[c.column() if isinstance(c, _Steps) else F.array(c.cast("long")) for c in seq]).alias("seq"), F.lit(level).alias("level"), F.lit(code).alias("code"), message.alias("message"), where.alias("file"),
             (F.col("entry_id") if owner else F.lit(None).cast("string")).alias("entry_id"), (guid if guid is not None else F.col("entry_guid") if owner else F.lit(None).cast("string")).alias("guid"),
             (F.col("entry_line").cast("long") if owner and line else F.lit(None).cast("long")).alias("line"),
         )
@@ -139,7 +140,7 @@ def problems(lex: Lexicon, require_ids: bool = False) -> DataFrame:
         e = nodes.where("kind = 'entry' and guid is null")
         parts.append(out(e, 10, [F.col("entry_pos"), zero], "error", "missing-id", F.lit("entry has no guid " + STABLE), guid=F.lit(None).cast("string")))
         s = nodes.where("kind = 'sense' and id is null")
-        parts.append(out(s, 10, [F.col("entry_pos"), F.lit(1), *_lifo()], "error", "missing-id", F.lit("sense has no id " + STABLE)))
+        parts.append(out(s, 10, [F.col("entry_pos"), F.lit(1), lifo], "error", "missing-id", F.lit("sense has no id " + STABLE)))
 
     # guids: entries and inline ranges are one scope, each companion another
     e = nodes.where("kind = 'entry' and guid is not null")
@@ -159,11 +160,12 @@ def problems(lex: Lexicon, require_ids: bool = False) -> DataFrame:
     rank = F.when((F.col("tag") == "relation") & (F.col("parent") == ""), 0).when(F.col("tag") == "variant", 1).when(F.col("sense").isNull(), 2).otherwise(3)
     refs = nodes.where("tag = 'variant' or (tag = 'relation' and (parent = '' or (sense is null and parent rlike '^variant\\\\[[0-9]+\\\\]$') or parent = sense))").withColumn("rank", rank)
     bad = R.dangling(refs, "ref", targets, "t")
-    parts.append(out(bad, 12, [F.col("entry_pos"), F.col("rank"), *_lifo(), F.element_at("idx", -1), F.element_at("idx", 2)], "error", "dangling-ref", F.concat(F.lit("ref "), py_repr(F.col("ref")), F.lit(" matches no entry id/guid or sense id"))))
+    parts.append(out(bad, 12, [F.col("entry_pos"), F.col("rank"), lifo, idx], "error", "dangling-ref", F.concat(F.lit("ref "), py_repr(F.col("ref")), F.lit(" matches no entry id/guid or sense id"))))
 
     # languages
     mt = nodes.where("kind = 'form' and label is not null").groupBy(*entry, "parent", "label", "lang").agg(F.count("*").alias("n"), F.min("idx").alias("idx")).where("n > 1 and lang is not null")
-    parts.append(out(mt, 13, [F.col("entry_pos"), F.element_at("idx", 1), F.element_at("idx", 2)], "warning", "duplicate-form-lang", F.concat("label", F.lit(" has more than one form with lang "), py_repr(F.col("lang")))))
+    mt = mt.withColumn("idx", F.slice("idx", 1, F.size("idx") - 2))
+    parts.append(out(mt, 13, [F.col("entry_pos"), idx], "warning", "duplicate-form-lang", F.concat("label", F.lit(" has more than one form with lang "), py_repr(F.col("lang")))))
 
     # ranges
     merged = lex.all_ranges().where("id is not null")
@@ -175,19 +177,25 @@ def problems(lex: Lexicon, require_ids: bool = False) -> DataFrame:
     tr = nodes.where("kind = 'trait'").select(*entry, "idx", "lifo", F.lit(1).alias("k"), F.col("name").alias("range_id"), F.concat(F.lit("trait "), py_repr(F.col("name"))).alias("what"), "value")
     values = gi.unionByName(tr).withColumn("key", nfc(F.col("value")))
     undefined = R.undefined_values(values, "range_id", "key", merged.select("range_id", nfc(F.col("id")).alias("v")), "v")
-    parts.append(out(undefined, 16, [F.col("entry_pos"), F.col("k"), F.element_at("idx", 1), F.element_at("idx", 2)], "warning", "undefined-range-value", F.concat("what", F.lit(" value "), py_repr(F.col("value")), F.lit(" is not defined in the range"))))
+    parts.append(out(undefined, 16, [F.col("entry_pos"), F.col("k"), idx], "warning", "undefined-range-value", F.concat("what", F.lit(" value "), py_repr(F.col("value")), F.lit(" is not defined in the range"))))
     if lex.path is not None:
         m = lex.missing_media().withColumn("entry_line", F.lit(None).cast("int"))
-        parts.append(out(m, 17, [F.col("entry_pos"), F.col("seq.k")], "warning", "missing-media", F.concat(F.col("kind"), F.lit(" file not found: "), py_repr(F.col("href"))), line=False))
+        parts.append(out(m, 17, [F.col("entry_pos"), F.col("seq.k"), owner, last], "warning", "missing-media", F.concat(F.col("kind"), F.lit(" file not found: "), py_repr(F.col("href"))), line=False))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     return every
 
 
-def _lifo() -> list[Column]:
-    """Senses last to first: the first two steps of the owner sense's reversed path."""
-    return [F.coalesce(F.try_element_at("lifo", F.lit(1)), F.lit(0)), F.coalesce(F.try_element_at("lifo", F.lit(2)), F.lit(-(1 << 40)))]
+class _Steps:
+    """A whole path as part of an order: its steps, then what is below every step, so that a path comes before those it begins."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def column(self) -> Column:
+        steps = F.coalesce(F.col(self.name), F.array().cast("array<int>"))
+        return F.concat(F.transform(steps, lambda x: x.cast("long")), F.array(F.lit(-(1 << 40)).cast("long")))
 
 
 _HREF = "dangling-ranges-href"
@@ -207,10 +215,15 @@ def _dangling_hrefs(lex: Lexicon) -> list[tuple]:
     return out
 
 
-def report(found: DataFrame, check_media: bool = True) -> list[Problem]:
-    """Findings in order."""
+def findings(found: DataFrame, check_media: bool = True) -> Iterator[Problem]:
+    """Findings in order, a partition at a time."""
     found = found if check_media else found.where("code <> 'missing-media'")
-    return [_problem(r) for r in found.orderBy("seq", "message").collect()]
+    return map(_problem, found.orderBy("seq", "message").toLocalIterator(prefetchPartitions=True))
+
+
+def report(found: DataFrame, check_media: bool = True) -> list[Problem]:
+    """The same as a list."""
+    return list(findings(found, check_media))
 
 
 def _problem(r) -> Problem:

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import casefold, clean_href, escape_xml, nfc, suspicious_uri
+from ..functions import clean_href, nfc
 from ..operators import relational as R
 from . import adapters as A
+from . import engine_queries, made  # noqa: F401
+from .registry import ORACLE, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLE[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE", "QUERIES"]
 
 
 _HREFS = r"""h as (
@@ -63,15 +51,15 @@ def undefined_range_value(spark, sf_dir):
 
 
 @query(r"""
-with w as (select doc_id, lower(string_split(coalesce(text, ''), ' ')[1]) as value from documents),
-a as (select distinct value from w where doc_id % 2 = 0 and value <> '')
+with w as (select doc_id, lang, lower(string_split(coalesce(text, ''), ' ')[1]) as value from documents),
+a as (select distinct value from w where value <> '' and lang = 'en')
 select doc_id, value from w where value <> '' and nfc_normalize(value) not in (select nfc_normalize(value) from a)""")
 def undefined_range_value_nfc(spark, sf_dir):
-    """First words that no even document begins with; the values are decomposed and compared in normal form C."""
+    """First words that no document in English begins with; the values are decomposed and compared in normal form C."""
     word = F.lower(F.substring_index(F.coalesce("text", F.lit("")), " ", 1))
-    w = A.table(spark, sf_dir, "documents").select("doc_id", F.lit("r").alias("range_id"), word.alias("word"))
+    w = A.table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit("r").alias("range_id"), word.alias("word"))
     v = w.select("doc_id", "range_id", "word", nfc(F.col("word")).alias("value"))
-    allowed = w.where("doc_id % 2 = 0 and word <> ''").select("range_id", nfc(F.col("word")).alias("id"))
+    allowed = w.where("lang = 'en' and word <> ''").select("range_id", nfc(F.col("word")).alias("id"))
     return R.undefined_values(v, "range_id", "value", allowed, "id").select("doc_id", F.col("word").alias("value"))
 
 
@@ -85,21 +73,8 @@ def range_parent(spark, sf_dir):
     return R.missing_parents(r.unionByName(n), ["range_id"], "id", "parent").select("n_nationkey", "n_name", "parent")
 
 
-@query("select conv_id, role as lang, count(*) as n from conversations where role is not null group by 1, 2 having count(*) > 1")
-def duplicate_form_lang(spark, sf_dir):
-    """Languages with more than one form in a multitext."""
-    return R.repeated(A.forms(spark, sf_dir), ["conv_id"], "lang")
 
 
-@query(rf"""
-with {_HREFS}
-select page_id, pos, href, case when contains(href, ' ') then 'contains an unencoded space'
-  when contains(href, '\') then 'contains backslashes (not a URI path separator)'
-  when regexp_matches(href, '^file://[A-Za-z]:') then 'Windows drive letter used as URI authority' end as reason
-from h where contains(href, ' ') or contains(href, '\') or regexp_matches(href, '^file://[A-Za-z]:')""")
-def uri_not_rfc(spark, sf_dir):
-    """Hrefs that a strict URI parser would refuse, with the first reason."""
-    return A.hrefs(spark, sf_dir).select("page_id", "pos", "href", suspicious_uri(F.col("href")).alias("reason")).where("reason is not null")
 
 
 @query(rf"""
@@ -118,14 +93,16 @@ def normalize_href(spark, sf_dir):
 
 
 _MEDIA = rf"""
-with {_HREFS}, m as (select page_id, pos, ltrim(raw, '/') as path from h where page_id % 2 = 1),
-f as (select distinct ltrim(raw, '/') as path from h where page_id % 2 = 0 union select distinct 'audio/' || ltrim(raw, '/') from h where page_id % 10 = 2)"""
+with {_HREFS}, m as (select page_id, pos, ltrim(raw, '/') as path from h),
+f as (select distinct ltrim(raw, '/') as path from h where pos = 1 union select distinct 'audio/' || ltrim(raw, '/') from h where pos = 2 union select distinct 'pictures/' || page_id || '.png' from pages)"""
 
 
 def _media(spark, sf_dir):
+    """Every link as a reference; as files what pages link first, what they link second in the audio folder, and a picture of each page."""
     h = A.hrefs(spark, sf_dir).withColumn("path", F.expr("ltrim('/', raw)"))
-    refs = h.where("page_id % 2 = 1").select("page_id", "pos", "path", F.struct("page_id", "pos").alias("ref_id"))
-    files = h.where("page_id % 2 = 0").select("path").union(h.where("page_id % 10 = 2").select(F.concat(F.lit("audio/"), "path"))).distinct()
+    refs = h.select("page_id", "pos", "path", F.struct("page_id", "pos").alias("ref_id"))
+    pictures = A.table(spark, sf_dir, "pages").select(F.concat(F.lit("pictures/"), "page_id", F.lit(".png")).alias("path"))
+    files = h.where("pos = 1").select("path").union(h.where("pos = 2").select(F.concat(F.lit("audio/"), "path"))).union(pictures).distinct()
     return refs, files
 
 
@@ -141,18 +118,7 @@ def missing_media(spark, sf_dir):
 def orphan_media(spark, sf_dir):
     """Files that nothing refers to."""
     refs, files = _media(spark, sf_dir)
-    used = refs.select(F.explode(F.array("path", F.concat(F.lit("audio/"), "path"))).alias("path"))
-    return files.join(used, "path", "left_anti")
-
-
-@query("""
-select doc_id as entry_pos, 'entry' as kind from documents where doc_id % 7 = 3
-union all select event_id, 'sense' from events where event_id % 11 = 5""")
-def missing_ids(spark, sf_dir):
-    """Entries without a guid and senses without an id; the empty string is one."""
-    e = A.entries(spark, sf_dir).select("entry_pos", F.expr("case when entry_pos % 7 = 3 then null when entry_pos % 7 = 4 then '' else guid end").alias("v"), F.lit("entry").alias("kind"))
-    s = A.senses(spark, sf_dir).select(F.col("sense_id").alias("entry_pos"), F.expr("nullif(sense_id % 11, 5)").cast("string").alias("v"), F.lit("sense").alias("kind"))
-    return e.unionByName(s).where("v is null").select("entry_pos", "kind")
+    return R.unreferenced(files, refs, F.array("path", F.concat(F.lit("audio/"), "path")), "path")
 
 
 _MERGED = """
@@ -173,198 +139,45 @@ def merged_ranges(spark, sf_dir):
     return R.first_by_priority(head.unionByName(ext), ["id"], [F.desc("has"), "priority", "pos"]).select("id", "source", "n")
 
 
-@query("""
-with e as (select event_id, user_id from events where event_type <> 'error'), f as (select user_id, event_id as entry from events where event_id % 5 = 0)
-select e.event_id, e.user_id, coalesce(f.entry, -1) as entry from e asof left join f on e.user_id = f.user_id and e.event_id >= f.entry""")
-def nearest_entry(spark, sf_dir):
-    """For each row the last entry of its user at or before it; -1 if there is none."""
-    e = A.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    right = e.where("event_id % 5 = 0").select("user_id", "event_id", F.col("event_id").alias("entry"))
-    return R.as_of(e.where("event_type <> 'error'").select("event_id", "user_id"), right, ["user_id"], "event_id", ["entry"], buckets=16).fillna(-1, ["entry"])
 
 
-@query("""
-select (select count(*) from documents) as entries, (select count(*) from events) as senses,
-  (select count(*) from conversations) as examples, (select sum(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))::bigint from pages) as media_refs""")
-def stats_counts(spark, sf_dir):
-    """Totals of entries, senses, examples and media references."""
-    one = lambda t, c, name: A.table(spark, sf_dir, t).agg(c.alias(name))
-    media = F.sum(F.size(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)"))).cast("long")
-    out = one("documents", F.count("*"), "entries")
-    for t, c, name in (("events", F.count("*"), "senses"), ("conversations", F.count("*"), "examples"), ("pages", media, "media_refs")):
-        out = out.join(F.broadcast(one(t, c, name)))
-    return out
 
 
-@query("select distinct lang from (select lang from documents union all select role from conversations) where lang is not null and lang <> ''")
-def stats_languages(spark, sf_dir):
-    """Distinct languages."""
-    d = A.table(spark, sf_dir, "documents").select("lang").union(A.table(spark, sf_dir, "conversations").select("role"))
-    return d.where("lang <> ''").distinct()
 
 
-@query("select event_type as name, count(*) as n from events group by 1 union all select source, count(*) from documents where source is not null group by 1")
-def stats_traits(spark, sf_dir):
-    """Traits by name."""
-    t = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).union(A.table(spark, sf_dir, "documents").select("source").where("source is not null"))
-    return t.groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("""
-select name, n, rank from (select *, row_number() over (order by n desc, first) as rank from (
-  select source as name, count(*) as n, min(doc_id) as first from documents group by 1)) where rank <= 5""")
-def top_traits(spark, sf_dir):
-    """The five most frequent traits; of equals the first seen."""
-    t = A.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    top = t.orderBy(F.desc("n"), "first").limit(5)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("long")).select("name", "n", "rank")
 
 
-@query("select event_id as sense_id, event_type as kind from events where event_id not in (select event_id // 10 from events where event_id > 0)")
-def leaf_senses(spark, sf_dir):
-    """Senses without subsenses."""
-    return R.leaves(A.senses(spark, sf_dir), "sense_id", "parent_id").select("sense_id", "kind")
 
 
-@query("""
-with recursive t(sense_id, root, depth) as (
-  select event_id, event_id, 0 from events where event_id = 0
-  union all select e.event_id, t.root, t.depth + 1 from events e join t on e.event_id // 10 = t.sense_id and e.event_id > 0)
-select * from t""")
-def sense_tree_depth(spark, sf_dir):
-    """Root and depth of every sense."""
-    s = A.senses(spark, sf_dir)
-    most = len(str(s.agg(F.max("sense_id")).first()[0] or 0))
-    return R.tree(s, "sense_id", "parent_id", most)
 
 
-@query("""
-select conv_id, arg_min(text, turn) filter (role = 'user') as gloss_user, arg_min(text, turn) filter (role = 'assistant') as gloss_assistant,
-  arg_min(text, turn) filter (role = 'system') as gloss_system from conversations group by 1""")
-def export_rows(spark, sf_dir):
-    """One row per multitext, the first form of each language in its column."""
-    wide = R.first_match(A.forms(spark, sf_dir), ["conv_id"], "lang", "text", "turn", ["user", "assistant", "system"])
-    return wide.select("conv_id", *[F.col(x).alias(f"gloss_{x}") for x in ("user", "assistant", "system")])
-
-
-@query("select doc_id as entry_pos, row_number() over (order by lower(md5(coalesce(text, ''))), lower('d' || doc_id), doc_id) as rank from documents")
-def canonical_rank(spark, sf_dir):
-    """Place of every entry in canonical order: a range-partitioned sort, then ranks from partition offsets."""
-    e = A.entries(spark, sf_dir).select("entry_pos", casefold("guid").alias("g"), casefold("id").alias("i"))
-    bucket = F.conv(F.substring("g", 1, 2), 16, 10).cast("int")
-    w = Window.partitionBy("bucket").orderBy("g", "i", "entry_pos")
-    e = e.withColumn("bucket", bucket)
-    size = e.groupBy("bucket").agg(F.count("*").alias("c"))
-    before = size.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    return e.withColumn("rn", F.row_number().over(w)).join(F.broadcast(before), "bucket").select("entry_pos", (F.col("rn") + F.col("before")).cast("long").alias("rank"))
-
-
-@query("select doc_id as entry_pos, 'd' || doc_id as id, md5(coalesce(text, '')) as guid from documents where md5(coalesce(text, '')) = (select md5(coalesce(text, '')) from documents where doc_id = 17) order by doc_id limit 1")
-def find_entry(spark, sf_dir):
-    """The first entry with a guid: a point lookup."""
-    e = A.entries(spark, sf_dir).select("entry_pos", "id", "guid")
-    guid = e.where("entry_pos = 17").select("guid").limit(1)
-    return e.join(F.broadcast(guid), "guid").orderBy("entry_pos").limit(1).select("entry_pos", "id", "guid")
-
-
-@query("select conv_id, string_agg(coalesce(text, ''), '' order by turn) as text_flat from conversations group by 1")
-def text_flatten(spark, sf_dir):
-    """Fragments joined in order."""
-    f = A.forms(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("l"))
-    return f.select("conv_id", F.array_join(F.transform("l", lambda x: x.t), "").alias("text_flat"))
-
-
-_DATES = """case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%Y-%m') when 2 then ' ' || strftime(o_orderdate, '%Y-%m-%d') || ' ' else 'unknown' end"""
-
-
-@query(f"""
-select o_orderkey, case when ok then trim(raw) end as date_value, case when not ok then raw end as residue from (
-  select o_orderkey, raw, regexp_matches(trim(raw), '^\\d{{4}}-\\d\\d-\\d\\d$') and try_cast(trim(raw) as date) is not null as ok from (
-    select o_orderkey, {_DATES} as raw from orders))""")
-def typed_attr_residue(spark, sf_dir):
-    """Dates that parse, and as residue the attributes that do not."""
-    d = lambda p: F.date_format("o_orderdate", p)
-    k = F.col("o_orderkey") % 4
-    raw = F.when(k == 0, d("yyyy-MM-dd")).when(k == 1, d("yyyy-MM")).when(k == 2, F.concat(F.lit(" "), d("yyyy-MM-dd"), F.lit(" "))).otherwise(F.lit("unknown"))
-    o = A.table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
-    ok = F.trim("raw").rlike(r"^\d{4}-\d\d-\d\d$") & F.expr("try_cast(trim(raw) as date) is not null")
-    return o.select("o_orderkey", F.when(ok, F.trim("raw")).alias("date_value"), F.when(~ok, F.col("raw")).alias("residue"))
 
 
-@query("""
-select doc_id as entry_pos, sha256(coalesce(text, '')) as digest, sha256(coalesce(text, '')) <> sha256(replace(coalesce(text, ''), 'mit', 'MIT')) as changed from documents""")
-def entry_digest_changed(spark, sf_dir):
-    """Which entries an edit touches: their digests before and after, joined by position."""
-    e = A.entries(spark, sf_dir).select("entry_pos", F.coalesce("text", F.lit("")).alias("t"))
-    return e.select("entry_pos", F.sha2("t", 256).alias("digest"), (F.sha2("t", 256) != F.sha2(F.replace("t", F.lit("mit"), F.lit("MIT")), 256)).alias("changed"))
 
 
-@query("""
-select doc_id as entry_pos, case when lang = 'en' then replace(text, 'the ', 'THE ') else text end as text,
-  coalesce(lang = 'en' and contains(text, 'the '), false) as edited from documents""")
-def bulk_edit_glosses(spark, sf_dir):
-    """A replacement in one language, and what it touched."""
-    d = A.entries(spark, sf_dir)
-    en = F.col("lang") == "en"
-    return d.select("entry_pos", F.when(en, F.replace("text", F.lit("the "), F.lit("THE "))).otherwise(F.col("text")).alias("text"), F.coalesce(en & F.col("text").contains("the "), F.lit(False)).alias("edited"))
 
 
-@query("select o_orderkey, o_custkey from orders where o_orderstatus <> 'F'")
-def tombstone_filter(spark, sf_dir):
-    """Entries that are not deleted."""
-    o = A.table(spark, sf_dir, "orders").withColumn("date_deleted", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")))
-    return o.where("date_deleted is null").select("o_orderkey", "o_custkey")
 
 
-_ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query(f"""
-select doc_id as entry_pos, '<entry id="d' || doc_id || '" guid="' || md5(coalesce(text, '')) || '">' || chr(10) || '  <lexical-unit>' || chr(10)
-  || '    <form lang="' || coalesce(lang, '') || '">' || chr(10) || '      <text>' || {_ESC.format("coalesce(text, 'x')")} || '</text>' || chr(10) || '    </form>' || chr(10) || '  </lexical-unit>' || chr(10) || '</entry>' as xml from documents""")
-def canonical_entry_xml(spark, sf_dir):
-    """Canonical text of an entry, by expressions alone."""
-    e = A.entries(spark, sf_dir)
-    lit = F.lit
-    return e.select("entry_pos", F.concat(lit('<entry id="'), "id", lit('" guid="'), "guid", lit('">\n  <lexical-unit>\n    <form lang="'), F.coalesce("lang", lit("")), lit('">\n      <text>'), escape_xml(F.coalesce("text", lit("x"))), lit("</text>\n    </form>\n  </lexical-unit>\n</entry>")).alias("xml"))
 
 
-@query("""
-select code, count(*) filter (level = 'error') as errors, count(*) filter (level = 'warning') as warnings from (
-  select 'duplicate-guid' as code, 'error' as level from (select row_number() over (partition by md5(coalesce(text, '')) order by doc_id) as rn from documents) where rn > 1
-  union all select 'dangling-ref', 'error' from events where 'c' || (user_id * 20) not in (select 'c' || c_custkey from customer)
-  union all select 'range-parent', 'error' from nation where n_regionkey + 1 not in (select r_regionkey from region)
-  union all select 'duplicate-form-lang', 'warning' from (select 1 from conversations group by conv_id, role having count(*) > 1)
-  union all select 'undefined-range-value', 'warning' from orders where o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM')) group by 1""")
-def problem_summary(spark, sf_dir):
-    """Findings by code: a union of checks, counted."""
-    parts = []
-    for code, level, f in (("duplicate-guid", "error", duplicate_guid), ("dangling-ref", "error", dangling_ref), ("range-parent", "error", range_parent), ("duplicate-form-lang", "warning", duplicate_form_lang), ("undefined-range-value", "warning", undefined_range_value)):
-        parts.append(f(spark, sf_dir).select(F.lit(code).alias("code"), F.lit(level).alias("level")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("code").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
 
 
-@query("""
-select entry_pos, array_to_string(list_sort(list(distinct lang)), ',') as langs from (
-  select conv_id as entry_pos, role as lang from conversations where role is not null) group by 1""")
-def gloss_langs(spark, sf_dir):
-    """Distinct languages of each entry."""
-    f = A.forms(spark, sf_dir).where("lang is not null")
-    return f.groupBy(F.col("conv_id").alias("entry_pos")).agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
-@query("""
-with r as (select distinct r_name as id from region), h as (select r_name as id from region where r_regionkey < 2)
-select id, id not in (select id from h) as added from r""")
-def header_references(spark, sf_dir):
-    """Range references of a header after a companion is attached: those it has, and those it lacked."""
-    r = A.table(spark, sf_dir, "region")
-    have = r.where("r_regionkey < 2").select(F.col("r_name").alias("id"), F.lit(False).alias("added"))
-    every = r.select(F.col("r_name").alias("id")).distinct()
-    return have.unionByName(every.join(have, "id", "left_anti").select("id", F.lit(True).alias("added")))
+
+
+
+
+
+
+
+
+
 
 
 # --- real XML, made in the task that reads it
@@ -374,20 +187,14 @@ def _entry_bytes(text: str | None, lang: str | None, pos: int) -> bytes:
 
     n = N.Node("entry", "entry")
     n.attrs["id"] = f"d{pos}"
-    n.add(N.Node("lexical-unit", "multitext")).set_form(lang or "", _legal(text or ""))
-    for k, line in enumerate(_legal(text or "").split("\n")):
+    n.add(N.Node("lexical-unit", "multitext")).set_form(lang or "", made.legal(text or ""))
+    for k, line in enumerate(made.legal(text or "").split("\n")):
         s = n.add(N.Node("sense", "sense"))
         s.attrs["id"], s.attrs["order"] = f"d{pos}s{k}", k
         s.set_form(lang or "", line, "gloss")
     return N.canonical(n).encode()
 
 
-def _legal(s: str) -> str:
-    """Without the characters that XML cannot hold."""
-    import re
-
-    return re.sub("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", s)
-
 
 @query("select doc_id as entry_pos, true as fixpoint, true as text_kept from documents")
 def lift_roundtrip(spark, sf_dir):
@@ -401,7 +208,7 @@ def lift_roundtrip(spark, sf_dir):
                 once = _entry_bytes(text, lang, pos)
                 n = N.parse_fragment(b'<lift version="0.13">', once, "entry")
                 same.append(N.canonical(n).encode() == once)
-                kept.append((n.one("lexical-unit").form(lang or "") or "") == _legal(text or ""))
+                kept.append((n.one("lexical-unit").form(lang or "") or "") == made.legal(text or ""))
             yield f[["entry_pos"]].assign(fixpoint=same, text_kept=kept)
 
     return A.entries(spark, sf_dir).select("entry_pos", "text", "lang").mapInPandas(step, "entry_pos long, fixpoint boolean, text_kept boolean")
@@ -429,20 +236,6 @@ def passthrough_untouched(spark, sf_dir):
     return A.entries(spark, sf_dir).select("entry_pos", "text", "lang").mapInPandas(step, "entry_pos long, touched boolean, same_bytes boolean")
 
 
-@query("select count(*) as errors from documents where false")
-def schema_conformance(spark, sf_dir):
-    """Schema violations of the entries made from documents: none."""
-    from ..sources import nodes as N
-
-    def step(frames):
-        from ..operators.schema_check import violations
-
-        for f in frames:
-            out = [len(list(violations(N.tree(_entry_bytes(t, g, p)), "entry"))) for p, t, g in zip(f["entry_pos"], f["text"], f["lang"], strict=True)]
-            yield f[["entry_pos"]].assign(n=out)
-
-    found = A.entries(spark, sf_dir).select("entry_pos", "text", "lang").mapInPandas(step, "entry_pos long, n long")
-    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("errors"))
 
 
 @query("""

@@ -1,33 +1,87 @@
 """Python data source ``lift``: a document's root children, split by byte ranges.
 
-The driver finds byte spans in one pass of constant memory; each task reads its own range.  Options: ``path`` (a file;
-several are separated by commas), ``split`` (bytes of a partition).  Rows: doc, index, entry_pos (entries only), tag,
-line, byte_start, byte_end, gap (bytes before it), raw.
+``read_document`` finds the splits in one pass of constant memory and keeps one row for each; tasks find the children of
+their own range.  Documents in other encodings or with a DOCTYPE, whose parts do not stand alone, are listed child by
+child instead.  Options: ``path`` (a file; several are separated by commas), ``split`` (bytes of a partition), ``splits``
+(what ``read_document`` found).  Rows: doc, index, entry_pos (entries only), tag, line, byte_start, byte_end, prev_end (of
+the entry before), gap (bytes before it), raw.
 """
 
 from __future__ import annotations
 
+import base64
+import io
+import json
 import os
+import re
 import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Row
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .nodes import DECLARATION
 from .scan import Document, Span, check_root, spans
 
-CHILDREN = "doc string, index long, entry_pos long, tag string, line int, byte_start long, byte_end long, gap binary, raw binary"
+CHILDREN = "doc string, index long, entry_pos long, tag string, line int, byte_start long, byte_end long, prev_end long, gap binary, raw binary"
 
 
 @dataclass
 class Range(InputPartition):
+    """Bytes of a document, and where its first child stands; ``rows`` only where the children are listed."""
+
     path: str
-    start: int
-    rows: list[tuple[int, int | None, str, int, int, int]]
+    gap: int = 0
+    start: int = 0
+    stop: int = 0
+    index: int = 0
+    pos: int = 0
+    line: int = 1
+    prev: int = 0
+    head: tuple[int, int] = (0, 0)
+    rows: list[tuple[int, str, int, int, int]] | None = None
+
+
+def local_file(uri: str) -> Path:
+    """The path of a file URI."""
+    from urllib.parse import unquote, urlparse
+
+    u = urlparse(uri)
+    if u.scheme not in ("", "file"):
+        raise ValueError(f"{uri} is not on a mounted file system")
+    return Path(unquote(u.path))
+
+
+class Splits:
+    """Collects the ranges of a document while its children go by."""
+
+    def __init__(self, path: str, size: int, entry: str, listed: bool = False):
+        self.path, self.size, self.entry, self.listed = path, size, entry, listed
+        self.out: list[Range] = []
+        self.now: Range | None = None
+        self.pos, self.end, self.last = 0, 0, 0
+
+    def add(self, s: Span, doc: Document) -> None:
+        if self.now is None:
+            self.end, self.last = self.end or doc.root_end, self.last or doc.root_end
+            self.now = Range(self.path, self.end, s.start, s.end, s.index, self.pos, s.line, self.last, (doc.root_start, doc.root_end), [] if self.listed else None)
+        if self.listed:
+            self.now.rows.append((s.index, s.tag, s.line, s.start, s.end))
+        self.now.stop = self.end = s.end
+        if s.tag == self.entry:
+            self.pos, self.last = self.pos + 1, s.end
+        if s.end - self.now.start >= self.size:
+            self.close()
+
+    def close(self) -> list[Range]:
+        if self.now is not None:
+            self.out.append(self.now)
+            self.now = None
+        return self.out
 
 
 class LiftReader(DataSourceReader):
@@ -35,37 +89,42 @@ class LiftReader(DataSourceReader):
         self.paths = [p for p in options["path"].split(",") if p]
         self.split = int(options.get("split", 8 << 20))
         self.root = options.get("root", "lift")
+        self.entry = "entry" if self.root == "lift" else "range"
+        self.splits = options.get("splits")
 
     def partitions(self) -> list[Range]:
-        out = []
-        for path in self.paths:
-            doc, group, pos, start, at = Document(), [], 0, None, 0
-            with open(path, "rb") as f:
-                for s in spans(f, doc):
-                    if start is None:
-                        check_root(doc, self.root)
-                        start = at = doc.root_end
-                    entry = s.tag == ("entry" if self.root == "lift" else "range")
-                    group.append((s.index, pos if entry else None, s.tag, s.line, s.start, s.end))
-                    pos += entry
-                    if s.end - start >= self.split:
-                        out.append(Range(path, start, group))
-                        group, start = [], s.end
-            check_root(doc, self.root)
-            if group:
-                out.append(Range(path, start, group))
-        return out or [Range("", 0, [])]
+        if self.splits is not None:
+            out = [Range(self.paths[0], *x[:-1], head=tuple(x[-1])) for x in json.loads(self.splits)]
+        else:
+            out = [r for p in self.paths for r in read_document(p, self.root, self.split)[0].splits]
+        return out or [Range("")]
 
     def read(self, part: Range) -> Iterator[tuple]:
-        if not part.rows:
+        if not part.path:
             return
-        name, at = os.path.basename(part.path), part.start
+        name, at, pos, prev = os.path.basename(part.path), part.gap, part.pos, part.prev
         with open(part.path, "rb") as f:
-            f.seek(part.start)
-            for index, pos, tag, line, a, e in part.rows:
+            f.seek(part.gap)
+            for index, tag, line, a, e in part.rows if part.rows is not None else _within(part):
                 gap = f.read(a - at)
-                yield name, index, pos, tag, line, a, e, gap, f.read(e - a)
+                entry = tag == self.entry
+                yield name, index, pos if entry else None, tag, line, a, e, prev, gap, f.read(e - a)
                 at = e
+                if entry:
+                    pos, prev = pos + 1, e
+
+
+def _within(part: Range) -> Iterator[tuple[int, str, int, int, int]]:
+    """(index, tag, line, start, end) of the children in a range, read under the root's open tag."""
+    with open(part.path, "rb") as f:
+        f.seek(part.head[0])
+        head = f.read(part.head[1] - part.head[0])
+        f.seek(part.start)
+        raw = f.read(part.stop - part.start)
+    shift, above = part.start - len(head), part.line - 1 - head.count(b"\n")
+    close = b"</" + re.match(rb"<([^\s/>]+)", head)[1] + b">"
+    for s in spans(io.BytesIO(head + raw + close), Document()):
+        yield part.index + s.index, s.tag, s.line + above, s.start + shift, s.end + shift
 
 
 @dataclass
@@ -74,32 +133,37 @@ class Part(WriterCommitMessage):
     path: str
 
 
-class LiftWriter(DataSourceWriter):
+class LiftWriter(DataSourceArrowWriter):
     """Entries (column ``raw``) to one document, in order of partitions: sort by a range, then write.
 
     Tasks write parts beside the target, which must be on a file system that all tasks share; the commit joins them
-    and moves the result over the target, an abort removes them.
+    and moves the result over the target, an abort removes them.  Each row gets a line of its own, unless ``exact`` is
+    set; what stands before and after the rows is ``prolog`` and ``epilog`` (base 64) or a root of its own.
     """
 
     def __init__(self, options: dict[str, str]):
-        self.path, self.head = options["path"], options.get("head", '<lift version="0.13">')
+        self.path, self.exact = options["path"], "exact" in options
+        self.prolog, self.epilog = base64.b64decode(options.get("prolog", "")), base64.b64decode(options.get("epilog", ""))
+        if not self.prolog:
+            self.prolog, self.epilog = DECLARATION + options.get("head", '<lift version="0.13">').encode() + b"\n", b"</lift>\n"
 
-    def write(self, rows: Iterator[Row]) -> Part:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
         t = TaskContext.get()
         path = f"{self.path}.{t.partitionId():08d}-{t.taskAttemptId()}.part"
         with open(path, "wb") as f:
-            for r in rows:
-                f.write(bytes(r.raw).rstrip(b"\n") + b"\n")
+            for b in batches:
+                for raw in b.column("raw"):
+                    f.write(raw.as_py() if self.exact else raw.as_py().rstrip(b"\n") + b"\n")
         return Part(t.partitionId(), path)
 
     def commit(self, messages: list[Part | None]) -> None:
         done = sorted((m for m in messages if m), key=lambda m: m.partition)
         with open(self.path + ".part", "wb") as out:
-            out.write(DECLARATION + self.head.encode() + b"\n")
+            out.write(self.prolog)
             for m in done:
                 with open(m.path, "rb") as f:
                     shutil.copyfileobj(f, out, 1 << 20)
-            out.write(b"</lift>\n")
+            out.write(self.epilog)
         os.replace(self.path + ".part", self.path)
         self.abort(done)
 
@@ -109,6 +173,15 @@ class LiftWriter(DataSourceWriter):
                 os.remove(m.path)
 
 
+def write_rows(rows: DataFrame, path: str | os.PathLike, prolog: bytes, epilog: bytes, exact: bool) -> None:
+    """Rows (column ``raw``) between two pieces, in order of partitions, by the tasks that have them."""
+    rows.sparkSession.dataSource.register(LiftSource)
+    out = rows.select("raw").write.format("lift").mode("overwrite")
+    for k, v in (("prolog", prolog), ("epilog", epilog)):
+        out = out.option(k, base64.b64encode(v).decode())
+    (out.option("exact", "1") if exact else out).save(os.fspath(path))
+
+
 class LiftSource(DataSource):
     """Register with ``spark.dataSource.register(LiftSource)``; then ``spark.read.format("lift")``."""
 
@@ -129,20 +202,28 @@ class LiftSource(DataSource):
         return LiftWriter(options)
 
 
-def children(spark: SparkSession, path: str, root: str = "lift", split: int = 8 << 20):
-    """Root children of a document as rows."""
+def children(spark: SparkSession, path: str, root: str = "lift", split: int = 8 << 20, doc: Document | None = None) -> DataFrame:
+    """Root children of a document as rows; ``doc``, if it was read before, has the splits."""
     spark.dataSource.register(LiftSource)
-    return spark.read.format("lift").option("root", root).option("split", str(split)).load(os.fspath(path))
+    read = spark.read.format("lift").option("root", root).option("split", str(split))
+    if doc is not None and doc.reusable:
+        read = read.option("splits", json.dumps([[r.gap, r.start, r.stop, r.index, r.pos, r.line, r.prev, r.head] for r in doc.splits]))
+    return read.load(os.fspath(path))
 
 
-def read_document(path: str, root: str = "lift") -> tuple[Document, list[Span], bytes]:
-    """Document facts, the root children that are not entries, and the root's open tag."""
+def read_document(path: str, root: str = "lift", split: int = 8 << 20) -> tuple[Document, list[Span], bytes]:
+    """Document facts with its splits, the root children that are not entries, and the root's open tag."""
     doc, kept = Document(), []
     with open(path, "rb") as f:
+        found = Splits(path, split, "entry" if root == "lift" else "range")
         for s in spans(f, doc):
+            if not found.pos and found.now is None and not found.out:
+                found.listed = not doc.reusable
+            found.add(s, doc)
             if s.tag != "entry" or root != "lift":
                 kept.append(s)
         check_root(doc, root)
+        doc.splits, doc.last = found.close(), found.last or doc.root_end
         f.seek(doc.root_start)
         head = f.read(max(0, (doc.root_end or doc.size) - doc.root_start))
     return doc, kept, head

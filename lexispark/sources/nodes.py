@@ -72,6 +72,54 @@ class Node:
         t.frags = [text]
         f.kids["text"] = [t]
 
+    def keys(self, tag: str = "form") -> list[str]:
+        """Languages of the forms that have one, in order."""
+        return [k for k, _ in self.items(tag)]
+
+    def values(self, tag: str = "form") -> list[str]:
+        return [v for _, v in self.items(tag)]
+
+    def items(self, tag: str = "form") -> list[tuple[str, str]]:
+        return [(f.attrs["lang"], f.text()) for f in self.all(tag) if f.attrs["lang"] is not None]
+
+    def __contains__(self, lang: object) -> bool:
+        return lang in self.keys()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.keys())
+
+    def __getitem__(self, lang: str) -> str:
+        """The first form's text in a language."""
+        if lang not in self:
+            raise KeyError(lang)
+        return self.form(lang)
+
+    def __setitem__(self, lang: str, text: str) -> None:
+        self.set_form(lang, text)
+
+    def __delitem__(self, lang: str) -> None:
+        """Without the first form in a language."""
+        at = next((i for i, f in enumerate(self.all("form")) if lang is not None and f.attrs["lang"] == lang), None)
+        if at is None:
+            raise KeyError(lang)
+        del self.kids["form"][at]
+
+    def residue(self) -> str:
+        """What the content model does not know, to be read: a line for each attribute, then the nodes."""
+        return "\n".join([f"@{k}={v!r}" for k, v in self.xattrs.items()] + [x for _, x, _ in self.xnodes])
+
+    def add_element(self, id: str, *, parent: str | None = None, guid: str | None = None) -> Node:
+        """A new element at the end of a range."""
+        if self.kind != "range":
+            raise LiftError(f"a {self.kind} has no range elements")
+        e = self.add(Node("range-element", "range-element"))
+        e.attrs |= {"id": id, "parent": parent, "guid": guid}
+        return e
+
+    def __repr__(self) -> str:
+        more = f", residue of {len(self.xattrs)} attributes and {len(self.xnodes)} nodes" if self.xattrs or self.xnodes else ""
+        return f"<{self.tag} {dict((k, v) for k, v in self.attrs.items() if v is not None)}{more}>"
+
     def walk(self) -> Iterator[Node]:
         """This node and all below it, in document order of slots."""
         yield self

@@ -37,6 +37,8 @@ class Document:
     empty_tag: bool = False
     encoding: str = ""
     doctype: bool = False
+    splits: list = field(default_factory=list)
+    last: int = 0
 
     @property
     def reusable(self) -> bool:

@@ -63,11 +63,11 @@ class LiftReader:
 
 
 class LiftWriter:
-    """Write the header at once and each entry canonically.  After an error the file is left without its end tag."""
+    """Write the header at once, each entry canonically, the companion on a clean close.  After an error the file is left without its end tag."""
 
     def __init__(self, path: os.PathLike | str, producer: str | None = None, header: N.Node | None = None, ranges=None):
         self._path = Path(path)
-        head = header
+        head, self._ranges = header, ranges
         if ranges is not None:
             name = self._path.stem + ".lift-ranges"
             head = N.parse(N.element(header), "header") if header is not None else N.Node("header", "header")
@@ -77,7 +77,6 @@ class LiftWriter:
                 if r.attrs["id"] not in have:
                     ref = host.add(N.Node("range", "range"))
                     ref.attrs["id"], ref.attrs["href"] = r.attrs["id"], name
-            ranges.save(self._path.parent / name)
         self._f = self._path.open("wb")
         extra = f' producer="{N._attr(producer)}"' if producer is not None else ""
         self._f.write(N.DECLARATION + f'<lift version="0.13"{extra}>\n'.encode())
@@ -91,6 +90,8 @@ class LiftWriter:
         if not self._f.closed:
             self._f.write(b"</lift>\n")
             self._f.close()
+            if self._ranges is not None:
+                self._ranges.save(self._path.parent / (self._path.stem + ".lift-ranges"))
 
     def __enter__(self):
         return self
