@@ -254,12 +254,16 @@ class Lexicon:
             for f in frames:
                 for d in f["path"]:
                     for at, _, names in os.walk(os.path.join(base, d)):
-                        yield pd.DataFrame({"path": [os.path.relpath(os.path.join(at, n), base).replace(os.sep, "/") for n in names if os.path.isfile(os.path.join(at, n))]})
+                        found = [os.path.relpath(os.path.join(at, n), base).replace(os.sep, "/") for n in names if os.path.isfile(os.path.join(at, n))]
+                        if found:
+                            yield pd.DataFrame({"path": found})
 
         def there(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 rel = [local_path(h or "") for h in f["href"]]
-                yield pd.DataFrame({"path": [os.path.normpath(r).replace(os.sep, "/") for r in rel if r and os.path.isfile(os.path.join(base, r))]})
+                found = [os.path.normpath(r).replace(os.sep, "/") for r in rel if r and os.path.isfile(os.path.join(base, r))]
+                if found:
+                    yield pd.DataFrame({"path": found})
 
         out = self.spark.createDataFrame(tops, "path string").mapInPandas(below, "path string")
         return out.union(self.media_refs().select("href").distinct().mapInPandas(there, "path string")).distinct()
