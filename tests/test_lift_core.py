@@ -160,3 +160,63 @@ def test_streaming_reader_and_writer(tmp_path):
     late.write_text(doc(el("entry", id="x"), "<entry").removesuffix("</lift>"))
     with pytest.raises(N.LiftParseError), open_reader(late) as r:
         assert len(list(r)) == 1
+
+
+def test_forms_as_a_mapping():
+    m = N.Node("definition", "multitext")
+    m["en"], m["fr"] = "one", "deux"
+    m.add(N.Node("form", "form"))  # without a language: neither a key nor a value
+    assert m.keys() == ["en", "fr"] == list(m) and m.values() == ["one", "deux"] and m.items() == [("en", "one"), ("fr", "deux")]
+    assert "en" in m and "de" not in m and None not in m and m["fr"] == "deux"
+    m["en"] = "uno"
+    assert m["en"] == "uno" and len(m.all("form")) == 3
+    del m["en"]
+    assert m.keys() == ["fr"]
+    for f in (lambda: m["en"], lambda: m.__delitem__("en")):
+        with pytest.raises(KeyError):
+            f()
+
+
+def test_residue_and_range_elements():
+    n = N.parse(N.tree('<entry id="a" odd="x"><extra k="1"/><!-- c --></entry>'), "entry")
+    assert n.residue() == "@odd='x'\n<extra k=\"1\"/>\n<!-- c -->" and "1 attributes and 2 nodes" in repr(n)
+    r = N.Node("range", "range")
+    e = r.add_element("Noun", parent="Word", guid="g")
+    assert r.all("range-element") == [e] and (e.attrs["id"], e.attrs["parent"], e.attrs["guid"]) == ("Noun", "Word", "g")
+    with pytest.raises(N.LiftError):
+        n.add_element("x")
+
+
+def test_writer_saves_the_companion_on_a_clean_close(tmp_path):
+    from lexispark.operators.lexicon import RangesFile
+    from lexispark.streaming.entries import LiftWriter
+
+    ranges = RangesFile()
+    ranges.add_range(N.Node("range", "range")).attrs["id"] = "status"
+    with pytest.raises(ZeroDivisionError), LiftWriter(tmp_path / "a.lift", ranges=ranges) as w:
+        w.write(N.Node("entry", "entry"))
+        raise ZeroDivisionError
+    assert not (tmp_path / "a.lift-ranges").exists()
+    with LiftWriter(tmp_path / "a.lift", ranges=ranges):
+        assert not (tmp_path / "a.lift-ranges").exists()
+    assert (tmp_path / "a.lift-ranges").exists() and b'href="a.lift-ranges"' in (tmp_path / "a.lift").read_bytes()
+
+
+@pytest.mark.parametrize("size", [1, 60, 10_000])
+def test_splits_give_the_children_of_the_whole(tmp_path, size):
+    from lexispark.sources import lift_source as S
+    from tests.lift_data import LIFT
+
+    p = tmp_path / "w.lift"
+    p.write_text(LIFT.replace("<!-- between -->", "<!-- <entry id='no'> -->\n<?pi <entry?>"), encoding="utf-8")
+    doc, kept, head = S.read_document(str(p), split=size)
+    read = S.LiftReader({"path": str(p), "split": str(size)})
+    parts = read.partitions()
+    rows = [r for x in parts for r in read.read(x)]
+    data = p.read_bytes()
+    assert len(parts) == len(doc.splits) and (size < 10_000) == (len(parts) > 1)
+    assert data[doc.root_end : doc.last] == b"".join(r[8] + r[9] for r in rows)
+    with open(p, "rb") as f:
+        want = list(S.spans(f, S.Document()))
+    assert [(r[1], r[3], r[4], r[5], r[6]) for r in rows] == [(s.index, s.tag, s.line, s.start, s.end) for s in want]
+    assert [r[2] for r in rows if r[2] is not None] == [0, 1, 2] and [r[7] for r in rows if r[2] is not None] == [doc.root_end, *[r[6] for r in rows if r[2] is not None][:-1]]

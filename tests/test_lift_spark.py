@@ -200,3 +200,34 @@ def test_generated_lexicon_through_the_data_source(spark, tmp_path):
     assert p.read_text().splitlines()[lines[299] - 1].startswith("<entry")
     with pytest.raises(Exception, match="Exists"):
         made.write.format("lift").mode("append").save(str(p))
+
+
+def test_findings_in_order_of_nested_senses(spark, tmp_path):
+    deep = el("sense", el("relation", type="r", ref="x0"), el("relation", type="r", ref="x1"), el("subsense", el("relation", type="r", ref="x00"), el("subsense", el("relation", type="r", ref="x000"))), el("subsense", el("relation", type="r", ref="x01")))
+    p = tmp_path / "n.lift"
+    p.write_text(doc(el("entry", deep, el("sense", el("relation", type="r", ref="y0")), el("relation", type="r", ref="e"), id="a", guid="1")))
+    found = [f.message.split("'")[1] for f in validate.report(validate.problems(Lexicon.read(spark, p))) if f.code == "dangling-ref"]
+    assert found == ["e", "y0", "x0", "x1", "x01", "x00", "x000"]
+
+
+def test_insert_reorder_and_lines(spark, lift):
+    lex = Lexicon.read(spark, lift)
+    new = N.parse(N.tree('<entry id="z" guid="0"/>'), "entry")
+    more = lex.insert(1, [new])
+    ids = lambda x: [r.id for r in x.table("entry").orderBy("entry_pos").collect()]
+    assert ids(more) == ["b", "z", "a", "c"]
+    assert ids(more.reorder(spark.createDataFrame([(3, 0), (0, 1), (1, 2)], "entry_pos long, place long"))) == ["c", "b", "z"]
+    lines = {r.entry_pos: r.line for r in lex.entries.collect()}
+    at = {r.line: r.entry_pos for r in lex.entry_at(spark.createDataFrame([(lines[1],), (lines[1] - 1,), (10**6,), (1,)], "line long")).collect()}
+    assert at == {lines[1]: 1, lines[1] - 1: 0, 10**6: 2, 1: None}
+
+
+def test_read_a_zip(spark, lift, tmp_path):
+    z = tmp_path / "pack.zip"
+    Lexicon.read(spark, lift).save_zip(z)
+    lex = Lexicon.read(spark, z)
+    assert [r.href for r in lex.missing_media().collect()] == ["b.wav"] and len(lex.companions) == 1
+    kept = lex.path
+    lex = lex.edit(lambda n: n.attrs.update(order=1))
+    lex.save(tmp_path / "out.lift")
+    assert kept.is_file() or Lexicon.read(spark, tmp_path / "out.lift").entries.count() == 3
