@@ -277,6 +277,14 @@ def test_packing_shards(spark, monkeypatch):
     assert sum(r["count"] for r in got) == 60 and max(r["count"] for r in got) < 30
 
 
+def test_regions_cut_fewer_edges_than_chance(spark):
+    """Groups of eight that know each other only."""
+    size = spark.range(400).selectExpr("id as uid", "0 as grp", "'b' as blk", "id as row", "id as n")
+    graph = spark.createDataFrame([(u, [(8 - k, u // 8 * 8 + (u + k) % 8) for k in range(1, 5)]) for u in range(400)], "u long, near array<struct<score:int,v:long>>")
+    placed = packing.shards(size, graph, 100)
+    assert packing.edges_cut(placed) < 0.5 * (1 - 1 / 4) and placed.count() == 400
+
+
 def test_neighbours_equal_brute_force(spark):
     """Few values, so that large groups branch: every document has neighbours of the highest agreements."""
     r = np.random.default_rng(8)
