@@ -5,8 +5,9 @@ their ranges.  An owner returns a bitmap to each block: which fingerprints anoth
 with a set bit, or met twice in their own block, are suspects; those are combined within their block, then
 shuffled by SHA-256 and compared byte by byte.  All others are unique and never leave their split.
 
-Defined cases: a null text counts as empty; a null id is larger than every id; of rows that repeat both id and
-text, one stays; an empty table gives no rows.
+Defined cases: a null text counts as empty; a very long text is compared whole; a null id is larger than every id; of
+rows that repeat both id and text (a tie), one stays; an empty table gives no rows; other columns of the table, whatever
+their names, are kept by ``exact_dedup`` and not read.
 """
 
 from __future__ import annotations

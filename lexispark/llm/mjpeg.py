@@ -2,14 +2,16 @@
 
 A frame is a lossless JPEG (process 14, SOF3): one 8-bit component, 64 samples a row, predictor 1.  The Huffman
 table has one code of each length 1 to 9, for difference categories 8 down to 0, so code and extra bits of any
-sample take nine bits together and whole frames are coded and decoded with array operations.  Readers take the
-table from the DHT segment and decode tables of this family; others are refused by name.
+sample take nine bits together and whole frames are coded and decoded with array operations.  ``clip_rows`` also reads
+files of other writers: the luma of baseline frames (see ``jpeg_frames``); other JPEG processes are refused by name.
 
 Frames lie in a ``movi`` list and are found through ``idx1``.  A shot begins where the histogram difference of
 two neighbouring frames is above ``mean + k * deviation`` of the preceding differences within the shot, and
 above a floor.
 
-Defined cases: a null text is stored as an empty one, 64 zero bytes; equal payloads give equal files.
+Defined cases: a null text is stored as an empty one, 64 zero bytes; a very long text is stored whole, in as many
+frames as it needs; equal payloads give equal files; a null id is carried; repeated rows are stored each; an empty table
+gives no rows; other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from . import jpeg_frames
 
 WIDTH, HEIGHT, FPS = 64, 64, 25
 _BITS = bytes([1] * 9 + [0] * 7)
@@ -143,7 +146,9 @@ def riff_frames(avi: bytes) -> tuple[list[tuple[int, int]], float]:
         elif tag == b"idx1":
             index = avi[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
-    return [(movi + o + 8, n) for tag, _, o, n in struct.iter_unpack("<4sIII", index) if tag == b"00dc"], seconds
+    rows = [(tag, o, n) for tag, _, o, n in struct.iter_unpack("<4sIII", index) if tag[2:] in (b"dc", b"db") and n]
+    base = 0 if rows and avi[rows[0][1] : rows[0][1] + 4] == rows[0][0] else movi  # some writers count from the file's start
+    return [(base + o + 8, n) for _, o, n in rows], seconds
 
 
 def _scan_of(avi: bytes, at: int, n: int) -> tuple[int, int, int]:
@@ -200,6 +205,26 @@ def decode_many(files: list[bytes]) -> list[tuple[np.ndarray, list[int], float]]
     return out
 
 
+def decode_any(files: list[bytes]) -> list[tuple[np.ndarray, list[int], float]]:
+    """The same for files of any writer: those of this module's layout together, others by the luma of their baseline frames."""
+    out: list = [None] * len(files)
+    own = []
+    for i, f in enumerate(files):
+        frames, seconds = riff_frames(f)
+        try:
+            for x in frames:
+                _scan_of(f, *x)
+            own.append(i)
+        except (ValueError, IndexError, struct.error):
+            luma = [jpeg_frames.luma(f[a : a + n]) for a, n in frames]
+            if len({x.shape[1] for x in luma}) > 1:
+                raise ValueError("frames of several widths") from None
+            out[i] = np.concatenate(luma), [len(x) for x in luma], seconds
+    for i, x in zip(own, decode_many([files[i] for i in own]) if own else [], strict=True):
+        out[i] = x
+    return out
+
+
 def shots(x: np.ndarray, heights: list[int], k: float = 3.0, floor: float = 0.25) -> list[tuple[int, int]]:
     """(first, end) frames of each shot."""
     n = len(heights)
@@ -254,7 +279,7 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, files = b.column("doc_id").to_pylist(), b.column("avi").to_pylist()
         for i in range(0, len(files), 64):
             out = []
-            for doc, (x, heights, sec) in zip(ids[i : i + 64], decode_many(files[i : i + 64]), strict=True):
+            for doc, (x, heights, sec) in zip(ids[i : i + 64], decode_any(files[i : i + 64]), strict=True):
                 at = np.concatenate([[0], np.cumsum(heights)])
                 out += [(doc, k, a, e, a * sec, e * sec, float(x[at[a] : at[e]].mean())) for k, (a, e) in enumerate(shots(x, heights))]
             yield B.rows(_CLIPS, out)

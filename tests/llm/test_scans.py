@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from lexispark.llm import blocks as B
-from lexispark.llm import exact_dedup, licenses, mjpeg, secrets
+from lexispark.llm import exact_dedup, jpeg_frames, licenses, mjpeg, secrets
 from tests.llm.data import documents, empty, texts
 
 
@@ -65,6 +65,82 @@ def test_mjpeg_every_difference_and_shots(spark):
     assert clips[-1].end_s == pytest.approx(0.44) and clips[-1].mean_level == 200
 
 
+def baseline_frame(x, chroma=False, every=0, own_tables=True):
+    """A baseline JPEG of rows and columns that are multiples of 16, with quantisation by 1."""
+    J = jpeg_frames
+    words = {k: {v: (c, n) for c, n, v in J.codes(*t)} for k, t in J.STANDARD.items()}
+    out, bits, last = [], [], 0
+
+    def put(value, n):
+        bits.extend((value >> (n - 1 - k)) & 1 for k in range(n))
+
+    def number(v):
+        n = abs(v).bit_length()
+        return n, (v if v > 0 else v + (1 << n) - 1)
+
+    def block(z, table, last):
+        n, raw = number(int(z[0]) - last)
+        put(*words[0, table][n])
+        put(raw, n)
+        run = 0
+        for v in z[1:].tolist():
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                put(*words[1, table][0xF0])
+                run -= 16
+            n, raw = number(int(v))
+            put(*words[1, table][run << 4 | n])
+            put(raw, n)
+            run = 0
+        if run:
+            put(*words[1, table][0])
+        return int(z[0])
+
+    def flush():
+        bits.extend([1] * (-len(bits) % 8))
+        out.append(np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00"))
+        bits.clear()
+
+    side, count = 16 if chroma else 8, 0
+    for y in range(0, x.shape[0], side):
+        for c in range(0, x.shape[1], side):
+            if every and count and count % every == 0:
+                flush()
+                out.append(bytes([0xFF, 0xD0 + (count // every - 1) % 8]))
+                last = 0
+            for a in range(0, side, 8):
+                for b in range(0, side, 8):
+                    z = np.round(J.DCT @ (x[y + a : y + a + 8, c + b : c + b + 8].astype(float) - 128) @ J.DCT.T).ravel()[J.ZIGZAG]
+                    last = block(z, 0, last)
+            for _ in range(2 if chroma else 0):
+                block(np.zeros(64), 1, 0)
+            count += 1
+    flush()
+    seg = lambda tag, body: bytes([0xFF, tag]) + (len(body) + 2).to_bytes(2, "big") + body
+    n = 3 if chroma else 1
+    sof = bytes([8]) + x.shape[0].to_bytes(2, "big") + x.shape[1].to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, 0x22 if chroma and not i else 0x11, 0]) for i in range(n))
+    sos = bytes([n]) + b"".join(bytes([i + 1, 0x11 if i else 0]) for i in range(n)) + bytes([0, 63, 0])
+    dht = b"".join(seg(0xC4, bytes([k[0] << 4 | k[1]]) + bytes(t[0]) + bytes(t[1])) for k, t in J.STANDARD.items()) if own_tables else b""
+    return b"\xff\xd8" + seg(0xDB, b"\0" + b"\1" * 64) + seg(0xC0, sof) + dht + (seg(0xDD, every.to_bytes(2, "big")) if every else b"") + seg(0xDA, sos) + b"".join(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("chroma,every,own", [(False, 0, True), (False, 3, False), (True, 0, True), (True, 2, False)])
+def test_baseline_frames_of_other_writers(spark, chroma, every, own):
+    r = np.random.default_rng(3)
+    x = r.integers(0, 256, (32, 48)).astype(np.uint8)
+    got = jpeg_frames.luma(baseline_frame(x, chroma, every, own))
+    assert got.shape == x.shape and np.abs(got.astype(int) - x).max() <= 2
+    dark, light = np.full((32, 48), 20, np.uint8), np.full((32, 48), 220, np.uint8)
+    avi = mjpeg.avi_file([baseline_frame(f, chroma, every, own) for f in [dark] * 5 + [light] * 4])
+    media = spark.createDataFrame([(1, bytearray(avi)), (2, bytearray(mjpeg.encode_many([b"a" * 64])[0]))], "doc_id long, avi binary")
+    clips = {(c.doc_id, c.clip): (c.first_frame, c.end_frame, round(c.mean_level)) for c in mjpeg.clip_rows(media).collect()}
+    assert clips == {(1, 0): (0, 5, 20), (1, 1): (5, 9, 220), (2, 0): (0, 1, 97)}
+    with pytest.raises(ValueError, match="process"):
+        jpeg_frames.luma(baseline_frame(x).replace(b"\xff\xc0", b"\xff\xc2"))
+
+
 def test_secret_base(spark):
     got = {r.doc_id: r for r in documents(spark).select("doc_id", "text").mapInArrow(secrets._digest, secrets.DIGEST).collect()}
     for i, t in enumerate(texts()):
