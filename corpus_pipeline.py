@@ -1,8 +1,12 @@
 """A training corpus from documents: toxicity, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs and returns whole rows of it; the last returns
-the pieces of packed sequences.  Between stages the rows are a Parquet table.  Null texts count as empty; extra
-columns are kept; an empty table gives no pieces.
+the pieces of packed sequences.  Between stages the rows are a Parquet table.
+
+Defined cases: null texts count as empty; very long texts are taken whole; of rows with equal texts, repeated rows among
+them, one stays, that with the smallest id, a null id being larger than every id; documents without words are never near
+copies, so one empty document stays; equal ids have equal fates in mixing; extra columns, whatever their names, are kept
+until packing; an empty table gives no pieces.
 """
 
 from __future__ import annotations
