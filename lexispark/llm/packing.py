@@ -2,7 +2,8 @@
 
 One scan encodes every text, and stores the ids with a minwise sketch of the text's words.  Of all documents that
 are equal in a sketch coordinate, each keeps the ``NEAR`` that agree with it in most (see ``search``).
-Neighbourhoods along the graph are put into one shard each, as far as they fit (see ``shards``; ``edges_cut`` measures it).
+Labels spread along the graph put related documents into one shard; a label that fills more than a shard is split
+(``edges_cut`` measures what is cut).
 In a shard, a path starts at an unvisited document of least degree and goes on to the nearest unvisited neighbour
 until there is none.  Documents are laid end to end along the paths and cut at every ``WINDOW`` ids, so a shard
 has one window that is not full.  Only numbers are shuffled; ids stay in the stored table, to whose rows the pieces
@@ -136,56 +137,66 @@ def search(value: np.ndarray, u: np.ndarray, s: np.ndarray, near: int = NEAR) ->
     return found[0]
 
 
+SLAB = 200_000
+
+
 def _nearest(near: int):
-    """Rows of whole values, in any order; the best of each uid among them.  A task holds its rows."""
+    """Rows sorted by value and sketch; the best of each uid among those that share a value.
+
+    A task holds ``SLAB`` rows, cut where the value changes.  A value that more rows share is taken in slabs: rows with equal
+    sketches lie together there, and those that agree on another coordinate meet in its value too.
+    """
+
+    def best(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, 8)
+        u, v, rank = search(t.column("value").to_numpy(), t.column("uid").to_numpy(), s, near)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(rank.astype(np.int32)), pa.array(v)], names=["u", "rank", "v"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            if size >= SLAB:
+                t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                value = t.column("value").to_numpy()
+                cut = int(np.searchsorted(value, value[-1]))
+                yield best([t.slice(0, cut)] if cut else [t])
+                held = [t.slice(cut)] if cut else [t.slice(max(0, size - 4 * near))]
+                size = held[0].num_rows
         if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, 8)
-            u, v, rank = search(t.column("value").to_numpy(), t.column("uid").to_numpy(), s, near)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(rank.astype(np.int32)), pa.array(v)], names=["u", "rank", "v"])
+            yield best(held)
 
     return step
 
 
 def neighbours(sketches: DataFrame, width: int, near: int = NEAR) -> DataFrame:
     """(u, [(score, v)]): the neighbours of each document that has some, with the highest agreements there are."""
-    rows = sketches.select("uid", "sketch").mapInArrow(_coordinates, "value long, uid long, sketch binary").repartition(width, "value")
+    rows = sketches.select("uid", "sketch").mapInArrow(_coordinates, "value long, uid long, sketch binary").repartition(width, "value").sortWithinPartitions("value", "sketch")
     edges = rows.mapInArrow(B.tidy(_nearest(near)), "u long, rank int, v long")
     best = F.slice(F.sort_array(F.collect_set(F.struct("rank", "v")), asc=False), 1, near)
     return edges.groupBy("u").agg(F.transform(best, lambda x: F.struct(F.shiftright(x.rank, 24).alias("score"), x.v.alias("v"))).alias("near"))
 
 
-GROW, SETTLE = 4, 1
-
-
-def _regions(graph: DataFrame, spread: int) -> DataFrame:
-    """(uid, label): one document in ``spread`` is a seed; for ``GROW`` rounds documents without a label take the one that their
-    neighbours agree with them under most, then for ``SETTLE`` rounds all do.  What no round reached is its own."""
-    edge = graph.select(F.col("u").alias("uid"), F.explode("near").alias("x")).select("uid", "x.v", "x.score")
-    edge = B.stored(edge.union(edge.select("v", "uid", "score")).groupBy("uid", "v").agg(F.max("score").alias("score")), "edges")
-    label = graph.select(F.col("u").alias("uid"), F.when(F.pmod(F.xxhash64("u"), F.lit(spread)) == 0, F.xxhash64("u")).alias("label"))
-    for k in range(GROW + SETTLE):
-        votes = edge.join(label.where("label is not null").select(F.col("uid").alias("v"), "label"), "v").groupBy("uid", "label").agg(F.sum("score").alias("w"))
-        best = votes.groupBy("uid").agg(F.max(F.struct("w", "label")).alias("b")).select("uid", F.col("b.label").alias("best"))
-        now = F.coalesce("label", "best") if k < GROW else F.coalesce("best", "label")
-        label = B.stored(label.join(best, "uid", "left").select("uid", now.alias("label")), "regions")
-    return label.withColumn("label", F.coalesce("label", F.xxhash64("uid")))
-
-
 def shards(size: DataFrame, graph: DataFrame, shard: int = SHARD) -> DataFrame:
-    """uid, n, near, shard: regions of the graph packed into shards of bounded size; a region above a quarter shard is cut by number."""
-    many, most = max(1, -(-size.count() // shard)), max(1, shard // 4)
+    """uid, n, near, shard: labels spread twice along the graph, packed into shards of bounded size."""
+    many = max(1, -(-size.count() // shard))
     if many == 1:
         return size.join(graph.withColumnRenamed("u", "uid"), "uid", "left").select("uid", "grp", "blk", "row", "n", "near", F.lit(0).cast("long").alias("shard"))
-    label = _regions(graph, max(1, shard // 8))
-    big = label.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > most).select("label", F.ceil(F.col("c") / most).alias("parts"))
+    edge = graph.select(F.col("u").alias("uid"), F.explode("near.v").alias("v"))
+    label = graph.select(F.col("u").alias("uid"), F.xxhash64("u").alias("label"))
+    for _ in range(2):
+        far = edge.join(label.withColumnRenamed("uid", "v"), "v").groupBy("uid").agg(F.min("label").alias("far"))
+        label = label.join(far, "uid").select("uid", F.least("label", "far").alias("label"))
+    full = size.join(graph.withColumnRenamed("u", "uid"), "uid", "left").join(label, "uid", "left").withColumn("label", F.coalesce("label", F.xxhash64("uid")))
+    full = B.stored(full, "labelled")
+    big = full.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > shard // 4).withColumn("parts", F.ceil(F.col("c") / (shard // 4)))
+    full = full.join(big.select("label", "parts"), "label", "left")
     salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("uid"), F.col("parts"))).otherwise(F.lit(0))
-    label = label.join(big, "label", "left").select("uid", F.xxhash64("label", salt).alias("place"))
-    full = size.join(graph.withColumnRenamed("u", "uid"), "uid", "left").join(label, "uid", "left")
-    return full.select("uid", "grp", "blk", "row", "n", "near", F.pmod(F.coalesce("place", F.xxhash64("uid")), F.lit(many)).cast("long").alias("shard"))
+    return full.select("uid", "grp", "blk", "row", "n", "near", F.pmod(F.xxhash64("label", salt), F.lit(many)).cast("long").alias("shard"))
 
 
 def edges_cut(placed: DataFrame) -> float:
