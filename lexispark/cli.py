@@ -13,8 +13,8 @@ from pathlib import Path
 from .operators import report
 from .operators.lexicon import Lexicon, canonicalize
 from .operators.validate import findings, problems
-from .session import session
-from .sources.archive import lift_path
+from .session import session, shared_dir
+from .sources.lift_source import local_file
 from .sources.nodes import LiftError
 
 
@@ -28,14 +28,15 @@ def _counts(*parts: tuple[int, str]) -> str:
 
 def _validate(spark, a) -> int:
     if a.path == "-":
-        with tempfile.TemporaryDirectory() as d:
+        base = local_file(shared_dir(spark, "stdin"))
+        base.mkdir(parents=True)
+        with tempfile.TemporaryDirectory(dir=base) as d:
             p = Path(d) / "stdin.lift"
             p.write_bytes(sys.stdin.buffer.read())
             lex = Lexicon.read(spark, p, resolve_ranges=False)
             lex.path = None
             return _findings(findings(problems(lex, a.require_ids)), a)
-    with lift_path(a.path) as p:
-        return _findings(findings(problems(Lexicon.read(spark, p), a.require_ids), not a.no_check_media), a)
+    return _findings(findings(problems(Lexicon.read(spark, a.path), a.require_ids), not a.no_check_media), a)
 
 
 def _findings(found, a) -> int:
@@ -58,8 +59,7 @@ def _findings(found, a) -> int:
 
 
 def _stats(spark, a) -> int:
-    with lift_path(a.path) as p:
-        s = report.stats(Lexicon.read(spark, p, resolve_ranges=False))
+    s = report.stats(Lexicon.read(spark, a.path, resolve_ranges=False))
     if a.format == "json":
         print(json.dumps({k: getattr(s, k) for k in ("entries", "senses", "examples", "media_refs", "languages", "traits")}, indent=2))
         return 0
@@ -78,15 +78,14 @@ def _sort(spark, a) -> int:
 
 
 def _check_media(spark, a) -> int:
-    with lift_path(a.path) as p:
-        lex = Lexicon.read(spark, p)
-        missing = orphans = 0
-        for r in lex.missing_media().orderBy("entry_pos", "seq").toLocalIterator(prefetchPartitions=True):
-            missing += 1
-            print(f"missing  {r.kind:12s} {r.href!r} (entry {r.entry_id or r.entry_guid or '?'})")
-        for r in lex.orphan_media().orderBy("path").toLocalIterator(prefetchPartitions=True):
-            orphans += 1
-            print(f"orphaned {r.path} (no media/illustration references it)")
+    lex = Lexicon.read(spark, a.path)
+    missing = orphans = 0
+    for r in lex.missing_media().orderBy("entry_pos", "seq").toLocalIterator(prefetchPartitions=True):
+        missing += 1
+        print(f"missing  {r.kind:12s} {r.href!r} (entry {r.entry_id or r.entry_guid or '?'})")
+    for r in lex.orphan_media().orderBy("path").toLocalIterator(prefetchPartitions=True):
+        orphans += 1
+        print(f"orphaned {r.path} (no media/illustration references it)")
     if orphans:
         print("note:", NOTE)
     print(_counts((missing, "missing"), (orphans, "orphaned")))
@@ -95,13 +94,13 @@ def _check_media(spark, a) -> int:
 
 def _export(spark, a) -> int:
     langs = [x.strip() for x in a.langs.split(",") if x.strip()] if a.langs else None
-    with lift_path(a.path) as p:
-        rows = report.export_rows(Lexicon.read(spark, p, resolve_ranges=False), langs)
-        if a.output is None:
-            csv.writer(sys.stdout, delimiter="\t" if a.tsv else ",").writerows(rows)
-        else:
-            with open(a.output, "w", newline="", encoding="utf-8") as f:
-                csv.writer(f, delimiter="\t" if a.tsv else ",").writerows(rows)
+    lex = Lexicon.read(spark, a.path, resolve_ranges=False)
+    rows = report.export_rows(lex, langs)
+    if a.output is None:
+        csv.writer(sys.stdout, delimiter="\t" if a.tsv else ",").writerows(rows)
+    else:
+        with open(a.output, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, delimiter="\t" if a.tsv else ",").writerows(rows)
     return 0
 
 
