@@ -53,9 +53,9 @@ def test_anti_joins_on_nulls(spark):
 
 def test_every_line_is_a_sense(spark, con):
     """Against brute force, beyond line 50 of a text."""
-    from lexispark.plans.queries import _legal
+    from lexispark.plans.made import legal
 
-    want = sorted((d, k, line) for d, t in con.sql("select doc_id, text from documents").fetchall() for k, line in enumerate(_legal(t or "").split("\n")))
+    want = sorted((d, k, line) for d, t in con.sql("select doc_id, text from documents").fetchall() for k, line in enumerate(legal(t or "").split("\n")))
     got = sorted((r.entry_pos, r.sense, r.gloss or "") for r in E.queries()["shred_senses"](spark, DATA).collect())
     assert got == want and max(k for _, k, _ in want) >= 50
 
