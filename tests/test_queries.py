@@ -51,6 +51,17 @@ def test_anti_joins_on_nulls(spark):
     assert [r.pos for r in R.duplicates(dup, [], "key", ["pos"], "pos").collect()] == [2]
 
 
+def test_ranks_beside_other_columns(spark):
+    """Bounds of ranges are samples here: 20,000 rows, another column beside the order."""
+    from pyspark.sql import functions as F
+
+    from lexispark.operators.lexicon import ranked
+
+    got = ranked(spark.range(0, 20_000, 1, 8).select(F.array(F.lit(10), F.xxhash64("id")).alias("k"), "id"), ["k"]).collect()
+    assert sorted(r.id for r in got) == list(range(20_000))
+    assert [r["rank"] for r in sorted(got, key=lambda r: r.k)] == list(range(20_000))
+
+
 def test_every_line_is_a_sense(spark, con):
     """Against brute force, beyond line 50 of a text."""
     from lexispark.plans.made import legal
