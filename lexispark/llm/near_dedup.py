@@ -264,13 +264,50 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
+NARROW = 4096  # hashes of a set up to which two bytes of each are enough
+
+
+def cut_hashes(s: np.ndarray) -> bytes:
+    """The low two bytes of each hash of a set, of a large set four, sorted."""
+    return np.sort(s.astype(np.uint16 if len(s) <= NARROW else np.uint32)).tobytes()
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Whether two sets can be linked, from their cut hashes: what they share in full they also share cut, so no link is lost."""
+    a, b = (np.frombuffer(v, np.uint16 if len(v) <= 2 * NARROW else np.uint32) for v in (x, y))
+    if a.dtype != b.dtype:
+        a, b = np.sort(a.astype(np.uint16)), np.sort(b.astype(np.uint16))
+    at = np.searchsorted(b, a)
+    both = min(int((b[np.minimum(at, len(b) - 1)] == a).sum()), len(b))
+    return 100 * both >= 70 * (len(a) + len(b) - both)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        low = [cut_hashes(np.frombuffer(h, np.uint64)) for h in b.column("hashes").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(low, pa.binary())], names=["uid", "low"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ok = [may_link(x, y) for x, y in zip(b.column("la").to_pylist(), b.column("lb").to_pylist(), strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, src: DataFrame, n: int) -> DataFrame:
-    """The stored pairs whose full sets are linked.  Sets are made anew from the texts that are asked for."""
+    """The stored pairs whose full sets are linked.  Sets are made anew from the texts that are asked for.
+
+    Most proposed pairs are not linked; their cut hashes say so, and full sets go only with the others.
+    """
     made = B.Scratch(pairs.sparkSession)
     asked = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(reps.select("uid", "grp", "blk", "row"), "uid")
     path = made.deliver(asked, n, "asked")
     sets = made.stored(src.mapInArrow(B.tidy(_full_sets(path)), "uid long, hashes binary"), "sets")
-    j = pairs.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("hb")), "b")
+    low = made.stored(sets.mapInArrow(B.tidy(_cut), "uid long, low binary"), "cut")
+    near = pairs.join(low.select(F.col("uid").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("uid").alias("b"), F.col("low").alias("lb")), "b")
+    near = made.stored(near.select("a", "b", "la", "lb").mapInArrow(B.tidy(_likely), "a long, b long"), "likely")
+    B.freed(pairs.sparkSession)
+    j = near.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("hb")), "b")
     out = B.stored(j.select("a", "b", "ha", "hb").mapInArrow(B.tidy(_confirm), "a long, b long"), "links")
     made.drop()
     return out
@@ -421,6 +458,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = made.stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "proposed")
     B.freed(spark)
     comp = components(links.union(confirmed(more, reps, src, files)))
+    B.freed(spark)
     degree = degrees(comp, reps, src, files, width)
 
     joined = reps.select("digest", "uid", "id", "class_size").join(comp, "uid", "left").join(degree, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
